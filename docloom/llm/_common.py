@@ -42,6 +42,14 @@ def discard(spark: SparkSession, *paths: str) -> None:
 FILTER_BUCKETS = 1 << 20
 
 
+_BUCKET = "__docloom_bucket"
+
+
+def _bucketed(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    bucket = F.pmod(F.xxhash64(*on), F.lit(FILTER_BUCKETS))
+    return df.withColumn(_BUCKET, bucket), F.broadcast(keys.select(bucket.alias(_BUCKET)).distinct())
+
+
 def only_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``df`` whose ``on`` columns may be among ``keys``: a hashed-bucket filter.
 
@@ -49,9 +57,21 @@ def only_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     wide rows without a partner are dropped before that join shuffles them. The broadcast side is
     bounded by ``FILTER_BUCKETS`` rows.
     """
-    bucket = F.pmod(F.xxhash64(*on), F.lit(FILTER_BUCKETS))
-    hit = keys.select(bucket.alias("_bucket")).distinct()
-    return df.withColumn("_bucket", bucket).join(F.broadcast(hit), "_bucket", "left_semi").drop("_bucket")
+    rows, hit = _bucketed(df, keys, on)
+    return rows.join(hit, _BUCKET, "left_semi").drop(_BUCKET)
+
+
+def never_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The other rows: those that ``only_keys`` drops."""
+    rows, hit = _bucketed(df, keys, on)
+    return rows.join(hit, _BUCKET, "left_anti").drop(_BUCKET)
+
+
+def without_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``df`` whose ``on`` columns (null equals null) are not among ``keys``; few are shuffled."""
+    here, there = only_keys(df, keys, on).alias("d"), keys.select(*on).distinct().alias("k")
+    same = [F.col(f"d.`{c}`").eqNullSafe(F.col(f"k.`{c}`")) for c in on]
+    return never_keys(df, keys, on).unionByName(here.join(there, same, "left_anti"))
 
 
 def blocks(lengths, limit: int = BLOCK_BYTES):
