@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, only_keys, work_dir
+from ._common import cut, only_keys, without_keys, work_dir
 
 #: Fixed set of characters that do not count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -74,13 +74,13 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     key_id = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
     digest = F.sha2(bare.cast("binary"), 256)
     try:
-        located = docs.withColumn("_at", F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")))
+        located = docs.withColumn("__docloom_at", F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")))
         located.schema  # noqa: B018  analysed here: rows that are not read from files have no locator but their id
     except Exception as e:
         if "_metadata" not in str(e):
             raise
-        located = docs.withColumn("_at", F.col(id_col).cast("string"))
-    rows = cut(located.select(F.col(id_col).alias("doc_id"), key_id.alias("key_id"), F.length(text).cast("long").alias("n_points"), digest.alias("digest"), F.col("_at").alias("locator")), f"{home}/rows")
+        located = docs.withColumn("__docloom_at", F.col(id_col).cast("string"))
+    rows = cut(located.select(F.col(id_col).alias("doc_id"), key_id.alias("key_id"), F.length(text).cast("long").alias("n_points"), digest.alias("digest"), F.col("__docloom_at").alias("locator")), f"{home}/rows")
     if rows.isEmpty():
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
     state = _state(rows, home, files_per_batch)
@@ -110,11 +110,12 @@ def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Of repeated rows (same id and text) one stays.
     """
-    found = exact_dedup(docs, id_col=id_col, text_col=text_col)
-    keep = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
-    rows = docs.withColumn("_digest", F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANKS, "").cast("binary"), 256))
-    one = rows.join(keep, (rows[id_col].eqNullSafe(keep["_id"])) & (rows["_digest"] == keep["_digest"]), "left_semi")
-    if found.groupBy("text_sha256").agg(F.count_if("kept").alias("n")).filter("n > 1").isEmpty():
-        return one.drop("_digest")
-    rank = F.row_number().over(Window.partitionBy("_digest").orderBy(F.length(text_col).desc_nulls_last(), F.col(text_col)))
-    return one.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", "_digest")
+    mark = "__docloom_digest"
+    found = cut(exact_dedup(docs, id_col=id_col, text_col=text_col), f"{work_dir(docs.sparkSession, 'kept')}/rows")
+    rows = docs.withColumn(mark, F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANKS, "").cast("binary"), 256))
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias(mark))
+    rows = without_keys(rows, gone, [id_col, mark])
+    if not found.filter("kept").groupBy("text_sha256").count().filter("count > 1").isEmpty():
+        rank = F.row_number().over(Window.partitionBy(mark).orderBy(F.length(text_col).desc_nulls_last(), F.col(text_col)))
+        rows = rows.withColumn("__docloom_rank", rank).filter("__docloom_rank = 1").drop("__docloom_rank")
+    return rows.drop(mark)

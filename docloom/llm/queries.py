@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, quality, sharding, warc
+from . import chat_format, exact_dedup, jaccard_join, language_id, packing, quality, sharding, spm, suffix_dedup, warc
 from ._common import work_dir
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,10 +36,26 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.tokenise(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), seed=1)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "warc")
     warc.write_archives(warc.mark_revisits(_table(spark, sf_dir, "pages")), folder)
@@ -45,7 +68,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_sharding, op2_chat_formatting, op3_exact_dedup, op6_quality_rules, op9_warc, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_kd_sharding, op2_chat_formatting, op3_exact_dedup, op4_best_fit_packing, op5_jaccard_join, op6_quality_rules, op7_suffix_dedup, op8_sentencepiece, op9_warc, op10_language_id)
+}
 
 ORACLES = {
     "op3_exact_dedup": """
