@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import queries_documents, queries_primitives
+
+QUERIES: dict = {**queries_primitives.QUERIES, **queries_documents.QUERIES}
+ORACLES: dict = {**queries_primitives.ORACLES, **queries_documents.ORACLES}
