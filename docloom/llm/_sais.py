@@ -92,38 +92,42 @@ def _induce(s: np.ndarray, is_s: np.ndarray, counts: np.ndarray, seeds: np.ndarr
     return sa
 
 
-def _induce_each(s: list[int], is_s: list[bool], counts: list[int], seeds: list[int]) -> list[int]:
-    """The same, entry by entry."""
+def _induce_each(s: np.ndarray, is_s: np.ndarray, counts: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The same, entry by entry. A list that grows ahead of its reader serves as the scan."""
     n = len(s)
-    begins, total = [], 0
-    for k in counts:
-        begins.append(total)
-        total += k
-    ends = [b + k for b, k in zip(begins, counts)]
-    sa = [-1] * n
-    tail = ends[:]
-    for i in reversed(seeds):
-        c = s[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
-    head = begins[:]
+    ends = np.cumsum(counts)
+    # bucket that an entry's predecessor goes to, by the predecessor's type; -1: to none
+    larger, smaller = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    larger[1:] = np.where(is_s[:-1], -1, s[:-1])
+    smaller[1:] = np.where(is_s[:-1], s[:-1], -1)
+    to_front, to_back = larger.tolist(), smaller.tolist()
+    sa = np.full(n, -1, np.int64)
+    bucket = s[seeds]  # the seeds come bucket by bucket: each bucket's lie at its end
+    size = np.bincount(bucket, minlength=len(counts))
+    sa[ends[bucket] - size[bucket] + np.arange(len(seeds)) - (np.cumsum(size) - size)[bucket]] = seeds
+    scan, head = sa.tolist(), (ends - counts).tolist()
     if not is_s[n - 1]:
-        sa[head[s[n - 1]]] = n - 1
-        head[s[n - 1]] += 1
-    for k in range(n):
-        j = sa[k] - 1
-        if j >= 0 and not is_s[j]:
-            c = s[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = ends[:]
-    for k in range(n - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and is_s[j]:
-            c = s[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
-    return sa
+        c = int(s[n - 1])
+        scan[head[c]] = n - 1
+        head[c] += 1
+    for i in scan:
+        if i > 0:
+            c = to_front[i]
+            if c >= 0:
+                k = head[c]
+                scan[k] = i - 1
+                head[c] = k + 1
+    scan.reverse()  # now from right to left, and tails become heads
+    head = (n - ends).tolist()
+    for i in scan:
+        if i > 0:
+            c = to_back[i]
+            if c >= 0:
+                k = head[c]
+                scan[k] = i - 1
+                head[c] = k + 1
+    scan.reverse()
+    return np.array(scan, np.int64)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -139,7 +143,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     def induced(seeds: np.ndarray) -> np.ndarray:
         if not large:
             return _induce(s, is_s, counts, seeds)
-        return np.array(_induce_each(s.tolist(), is_s.tolist(), counts.tolist(), seeds.tolist()), np.int64)
+        return _induce_each(s, is_s, counts, seeds)
 
     if len(lms) > 1:
         lms = lms[np.argsort(s[lms], kind="stable")]
@@ -200,18 +204,26 @@ def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.nda
     runs = np.flatnonzero(fresh)
     run_length = np.zeros(n, np.int64)
     run_length[runs] = np.diff(np.append(runs, n))
+    packed = np.full(4 * n + 8, 0xFF, np.uint8)
+    if s.max(initial=0) < 0xFF:  # a byte a value: eight values are compared at once
+        each, packed = 8, np.concatenate([s.astype(np.uint8), np.full(16, 0xFF, np.uint8)])
+    else:
+        each = 2
+        packed[: 4 * n] = s.astype("<u4").view(np.uint8)
+    width = 8 // each
+    words = np.ndarray((n + 1,), "<u8", packed.tobytes() + bytes(16), 0, (width,))
     live, step = start, 0
     while len(live):
         a, b = live + step, before[live] + step
-        inside = (a < n) & (b < n)
-        equal = np.zeros(len(live), bool)
-        equal[inside] = s[a[inside]] == s[b[inside]]
-        measured[live[~equal]] = step
-        live = live[equal]
-        step += 1
-        done = step >= most + run_length[live] - 1
-        measured[live[done]] = step
+        differ = words[np.minimum(a, n)] ^ words[np.minimum(b, n)]
+        low = differ & (~differ + np.uint64(1))
+        equal = np.where(differ == 0, each, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // (8 * width))
+        equal = np.minimum(equal, np.maximum(0, n - np.maximum(a, b)))
+        reached = step + equal
+        done = (equal < each) | (reached >= most + run_length[live] - 1)
+        measured[live[done]] = reached[done]
         live = live[~done]
+        step += each
     last = np.maximum.accumulate(np.where(fresh, place, 0))
     out = measured[last] - (place - last)
     out[before < 0] = 0

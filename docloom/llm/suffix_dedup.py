@@ -143,11 +143,9 @@ def _name(data: bytes) -> int:
 def repeated_starts(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Per text, whether the string of ``width`` bytes at each start occurs at another start of any text."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    joined = np.zeros(int(sizes.sum()) + len(texts), np.int32)
     ends = np.cumsum(sizes + 1) - 1
-    for t, end, n in zip(texts, ends.tolist(), sizes.tolist(), strict=True):
-        joined[end - n : end] = np.frombuffer(t, np.uint8)
-        joined[end - n : end] += 1
+    # 0xF8 ends a text: no UTF-8 text holds it
+    joined = np.frombuffer(b"\xf8".join([*texts, b""]), np.uint8).astype(np.int32)
     order = suffix_array(joined)
     common = permuted_common_prefixes(joined, order, width)  # with the suffix before, by place
     shared = common >= width
