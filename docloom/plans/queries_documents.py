@@ -30,8 +30,9 @@ def query(sql: str | None = None):
     return add
 
 
-_ITEMS = """items AS (SELECT l_orderkey AS k, l_linenumber AS n, p_name AS item, l_quantity AS qty, round(l_extendedprice / l_quantity, 2) AS unit_price,
-        round(CASE WHEN l_orderkey % 7 = 0 AND l_linenumber = 1 THEN l_extendedprice * (1 - l_discount) ELSE l_extendedprice END, 2) AS amount FROM lineitem JOIN part ON l_partkey = p_partkey),
+_ITEMS = """items AS (SELECT l_orderkey AS k, l_linenumber AS n, p_name AS item, l_quantity AS qty, (2 * cents + CAST(l_quantity AS BIGINT)) // (2 * CAST(l_quantity AS BIGINT)) / 100 AS unit_price,
+        cents * (CASE WHEN l_orderkey % 7 = 0 AND l_linenumber = 1 THEN 100 - CAST(round(l_discount * 100) AS BIGINT) ELSE 100 END) // 100 / 100 AS amount
+        FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem) JOIN part ON l_partkey = p_partkey),
     sums AS (SELECT k, count(*) AS n_items, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS VARCHAR) AS total, count(*) FILTER (abs(qty * unit_price - amount) > 1.0) AS off FROM items GROUP BY k),
     docs AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, * FROM sums JOIN orders ON k = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 _BODY = "CAST(n AS VARCHAR) || ' ' || item || ' ' || CAST(CAST(qty AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(unit_price AS DECIMAL(18,2)) AS VARCHAR) || ' ' || CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR)"
@@ -62,7 +63,7 @@ def classify_documents(spark, sf_dir):
 
 @query(f"WITH {_ITEMS} SELECT doc_id, 'line_items' AS name, 4 AS header_idx, 5 + n_items AS end_idx, n_items AS n_body FROM docs")
 def table_regions(spark, sf_dir):
-    return _typed(spark, sf_dir).select("doc_id", F.explode("regions").alias("r")).select("doc_id", "r.name", "r.header_idx", "r.end_idx", F.size("r.body").alias("n_body"))
+    return _typed(spark, sf_dir).select("doc_id", F.explode_outer("regions").alias("r")).filter("r IS NOT NULL").select("doc_id", "r.name", "r.header_idx", "r.end_idx", F.size("r.body").alias("n_body"))
 
 
 @query(f"WITH {_ITEMS} SELECT doc_id, 9 + n_items AS n_lines, 8 AS n_active FROM docs")
@@ -101,7 +102,7 @@ def row_formula_check(spark, sf_dir):
     unnest(['INV-' || doc_id, strftime(o_orderdate, '%d/%m/%Y'), 'T-' || CAST(o_orderkey % 40 AS VARCHAR), c_name, total, '₹ ' || total, 'UPI']) AS value FROM docs""")
 def kv_inline_fields(spark, sf_dir):
     docs = key_values(_typed(spark, sf_dir), Registry.shared())
-    return docs.select("doc_id", F.explode("kv").alias("p")).select("doc_id", "p.field", "p.value")
+    return docs.select("doc_id", F.explode_outer("kv").alias("p")).filter("p IS NOT NULL").select("doc_id", "p.field", "p.value")
 
 
 @query(f"""WITH {_ITEMS} SELECT doc_id, unnest(['invoice_no', 'table_no', 'payment_mode']) AS field_name,

@@ -21,10 +21,12 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
     rows = lines.join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     off = (F.col("l_orderkey") % 7 == 0) & (F.col("l_linenumber") == 1)
-    amount = F.when(off, F.col("l_extendedprice") * (1 - F.col("l_discount"))).otherwise(F.col("l_extendedprice"))
+    cents, qty = F.round(F.col("l_extendedprice") * 100).cast("bigint"), F.col("l_quantity").cast("bigint")
+    kept = F.when(off, 100 - F.round(F.col("l_discount") * 100).cast("bigint")).otherwise(F.lit(100))
+    rows = rows.withColumns({"_cents": cents, "_qty": qty, "_kept": kept})
     return rows.select(
         F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_number"), F.col("p_name").alias("item"), F.col("l_quantity").alias("qty"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("unit_price"), F.round(amount, 2).alias("amount"),
+        (F.expr("(2 * _cents + _qty) div (2 * _qty)") / 100).alias("unit_price"), (F.expr("_cents * _kept div 100") / 100).alias("amount"),
     )
 
 
