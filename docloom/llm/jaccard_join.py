@@ -12,10 +12,14 @@ document its component under links.
 2. The rest have their sets stored. Tokens are ordered by frequency (a bounded table of the most
    frequent ones) and hash; a link's partners share a token among the first ``n - need + 1`` of
    either (``need``: four fifths of n, rounded up). These lead tokens make the matrix.
-3. Similar classes form groups: each class is held against the one it shares most lead tokens with,
-   among the least classes of its tokens; verified links make groups by connected components.
-4. The token-group matrix holds each group's union of lead tokens. A class queries the groups other
-   than its own that hold one of its lead tokens and whose sizes allow a link; the union of a group's
+3. Similar classes form groups, in a few rounds: each lead token names one of its groups (by a hash that
+   differs from round to round), each class queries that of the groups named to it with which it
+   shares most tokens, and verified links join groups by connected components. A round's work is in
+   proportion to the tokens; it leaves few groups for the tokens that many similar texts share.
+4. The token-group matrix holds each group's union of lead tokens, of each member the part that a
+   partner at least as large must meet (8 ninths of a set are in such a partner). A class queries the
+   groups other than its own that hold one of its lead tokens and whose sizes allow a link with a
+   member no larger; the union of a group's
    sets bounds the overlap, and only where it reaches ``need`` is the group opened, until one
    member links: a group is connected already, so its other members add nothing.
 
@@ -44,9 +48,13 @@ from ._text import shingle_set
 #: Fixed values of the link rule: per hundred of the union.
 SIMILAR, WHOLE = 80, 100
 #: Tokens of a block on the way to their ranges, and of a range where they are compared.
-BLOCK_TOKENS, RANGE_TOKENS = 1 << 20, 4 << 20
+BLOCK_TOKENS, RANGE_TOKENS = 1 << 19, 2 << 20
 #: Rows of the table of frequent tokens (12 bytes each), and the least frequency that it holds.
-FREQUENT, LEAST_FREQUENT = 1 << 18, 8
+FREQUENT, LEAST_FREQUENT = 1 << 21, 4
+#: Frequencies from here on are told apart only in the order, not in choosing what the table holds.
+HIGHEST = 1 << 12
+#: Rounds of grouping at most; they end when one gives no link.
+ROUNDS = 5
 #: Members of a group, and queries to it, that one task compares.
 GROUP_PART, QUERY_CHUNK = 200, 1_000
 
@@ -56,6 +64,11 @@ def need(n):
     return (SIMILAR * n + WHOLE - 1) // WHOLE
 
 
+def need_of_smaller(n):
+    """Tokens of a set of n that a partner holds which is no smaller."""
+    return (2 * SIMILAR * n + SIMILAR + WHOLE - 1) // (SIMILAR + WHOLE)
+
+
 def _key(tokens: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()))))
 
@@ -151,15 +164,20 @@ def _compare(table: pa.Table) -> pa.Table:
         several.append(np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(token)).astype(bool))
         sizes.append(sizes[-1] + len(keys))
     node, owner, token, several = (np.concatenate(x) for x in (nodes, owners, tokens, several))
+    del nodes, owners, tokens
     order = np.argsort(token, kind="stable")
-    token, owner, several = token[order], owner[order], several[order]
-    new = np.concatenate([[True], token[1:] != token[:-1]])
-    run = np.cumsum(new) - 1
+    token = token[order]
+    owner, several = owner[order], several[order]
+    del order
+    new = np.ones(len(token), bool)
+    np.not_equal(token[1:], token[:-1], out=new[1:])
+    del token
+    starts = np.flatnonzero(new)
     who = node[owner]
-    first = who[np.flatnonzero(new)][run]
-    common = np.zeros(run[-1] + 1, bool)
-    np.logical_or.at(common, run, several | (who != first))
-    hit = common[run] & ~several
+    differs = who != np.repeat(who[starts], np.diff(np.append(starts, len(who))))
+    del who
+    common = np.logical_or.reduceat(several | differs, starts)
+    hit = np.repeat(common, np.diff(np.append(starts, len(owner)))) & ~several
     counts = np.bincount(owner[hit], minlength=len(node)).astype(np.uint32)
     out = []
     for block, a, b in zip(table.column("block").to_pylist(), sizes[:-1], sizes[1:], strict=True):
@@ -212,10 +230,30 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
+def _packed_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens, counts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "n"))
+        yield pa.RecordBatch.from_arrays([pa.array([tokens.astype(np.int64).tobytes()], pa.binary()), pa.array([np.minimum(counts, 1 << 30).astype(np.int32).tobytes()], pa.binary())], names=["tokens", "counts"])
+
+
+def _frequency_table(often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens and their frequencies: all from the frequency on at which ``FREQUENT`` rows hold them."""
+    rows, least = 0, HIGHEST + 1
+    for r in often.groupBy(F.least("n", F.lit(HIGHEST)).alias("n")).count().orderBy(F.desc("n")).collect():
+        if rows + r["count"] > FREQUENT:
+            break
+        rows, least = rows + r["count"], r["n"]
+    found = often.filter(F.col("n") >= least).mapInArrow(_packed_table, "tokens binary, counts binary").collect()
+    tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in found] or [np.zeros(0, np.uint64)])
+    counts = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in found] or [np.zeros(0, np.int32)])
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
 def _leads(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     tokens, counts = sent.value
     for batch in batches:
-        out, nodes, sizes = [], [], []
+        out, nodes, sizes, firsts = [], [], [], []
         for node, n, data in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens"), strict=True):
             own = np.frombuffer(data.as_buffer(), np.uint64)
             rank = np.zeros(n, np.int64)
@@ -226,8 +264,9 @@ def _leads(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
             out.append(lead)
             nodes.append(np.full(len(lead), node, np.int64))
             sizes.append(np.full(len(lead), n, np.int64))
+            firsts.append(np.arange(len(lead)) <= n - need_of_smaller(n))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([o.view(np.int64) for o in out], nodes, sizes)], names=["token", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([o.view(np.int64) for o in out], nodes, sizes, firsts)], names=["token", "node", "n", "early"])
 
 
 def _open(key, members: pa.Table, queries: pa.Table) -> pa.Table:
@@ -288,32 +327,40 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         sets = sets.dropDuplicates(["node"])
 
     often = sets.select("tokens").mapInArrow(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_FREQUENT)
-    often = often.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
-    tokens = often["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    sent = spark.sparkContext.broadcast((tokens[order], often["n"].to_numpy(np.int64)[order]))
-    leads = sets.mapInArrow(lambda it: _leads(it, sent), "token long, node long, n long")
+    often = cut(often, f"{home}/often")
+    sent = spark.sparkContext.broadcast(_frequency_table(often))
+    leads = sets.mapInArrow(lambda it: _leads(it, sent), "token long, node long, n long, early boolean")
     leads = cut(leads, f"{home}/leads")
 
-    hubs = leads.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    met = leads.join(hubs, "token").filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("k"))
-    asked = met.groupBy("node").agg(F.max(F.struct("k", F.negative("hub").alias("h"))).alias("x")).select("node", F.negative("x.h").alias("grp"))
-    asked = cut(asked, f"{home}/asked0")
-    links = cut(_opened(asked, asked.select(F.col("grp").alias("node"), "grp").distinct(), sets), f"{home}/links0")
-    label = components(links, f"{home}/groups")
+    links, groups = None, sets.select("node", "n", F.col("node").alias("grp"))
+    for k in range(ROUNDS):
+        held = leads.join(groups.select("node", "grp"), "node")
+        hubs = held.groupBy("token").agg(F.min(F.struct(F.xxhash64("grp", F.lit(k)).alias("h"), "grp")).alias("hub"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+        hubs = hubs.filter("lo < hi").select("token", F.col("hub.grp").alias("hub"))
+        met = held.join(hubs, "token").filter("grp <> hub").groupBy("node", "hub").agg(F.count("*").alias("k"))
+        asked = met.groupBy("node").agg(F.max(F.struct("k", "hub")).alias("x")).select("node", F.col("x.hub").alias("grp"))
+        asked = cut(asked, f"{home}/asked{k}")
+        members = groups.select("node", "grp").join(asked.select("grp").distinct(), "grp", "left_semi")
+        new = cut(_opened(asked, members, sets), f"{home}/links{k}")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        label = components(links, f"{home}/groups{k}")
+        groups = cut(sets.select("node", "n").join(label, "node", "left").select("node", "n", F.coalesce("label", "node").alias("grp")), f"{home}/members{k}")
 
-    groups = cut(sets.select("node", "n").join(label, "node", "left").select("node", "n", F.coalesce("label", "node").alias("grp")), f"{home}/members")
     held = leads.join(groups.select("node", "grp"), "node")
-    mixed = held.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("token")
+    # tokens that stand in the same classes (those of one passage) give the same candidates: one of them stays
+    same = [F.sum(F.xxhash64("node", "early").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("early", "node")).alias("x"), F.count("*").alias("k")]
+    mixed = held.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), *same).filter("lo < hi")
+    mixed = mixed.groupBy("s", "x", "k").agg(F.min("token").alias("token")).select("token")
     held = cut(held.join(mixed, "token", "left_semi"), f"{home}/held")
-    bounds = groups.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = held.select("token", "grp").distinct().join(bounds, "grp")
-    fits = (F.col("own") > F.col("grp")) & (F.col("most") * WHOLE >= F.col("n") * SIMILAR) & (F.col("least") * SIMILAR <= F.col("n") * WHOLE)
-    asked = held.withColumnRenamed("grp", "own").join(matrix, "token").filter(fits).select("node", "grp").distinct()
-    asked = cut(asked, f"{home}/asked1")
-    more = cut(_opened(asked, groups.select("node", "grp"), sets), f"{home}/links1")
-
-    label = components(links.unionByName(more), f"{home}/final")
+    matrix = held.filter("early").groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = (F.col("own") != F.col("grp")) & (F.col("most") * WHOLE >= F.col("n") * SIMILAR) & (F.col("least") <= F.col("n"))
+    asked = held.select("token", "node", "n", F.col("grp").alias("own")).join(matrix, "token").filter(fits).select("node", "grp").distinct()
+    asked = cut(asked, f"{home}/asked")
+    more = cut(_opened(asked, groups.select("node", "grp"), sets), f"{home}/links")
+
+    label = components(more if links is None else links.unionByName(more), f"{home}/final")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("class_id")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = nodes.groupBy("label").agg(F.min("class_id").alias("component_id"))
     out = rows.join(cut(nodes.join(names, "label").select("node", "class_id", "component_id"), f"{home}/nodes"), "node")
