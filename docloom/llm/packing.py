@@ -37,6 +37,9 @@ ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 3, 4
 #: Share of a parent's fullest bins that a child takes whole.
 INJECTED = 0.5
 
+#: Tasks of an epoch; beyond, a task breeds several islands one after the other.
+MOST_TASKS = 20_000
+
 _encoders: dict[str, BlockEncoder] = {}
 
 
@@ -233,7 +236,9 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, islands: int = ISLANDS,
     kind = "block long, island long, n_bins long, bins binary"
     elites = spark.createDataFrame([], kind)
     for epoch in range(epochs):
-        grouped = each.groupBy("block", "island").cogroup(elites.groupBy("block", "island"))
+        # as many tasks as islands, however few bytes they read: an island's work is not in its input's size
+        spread = [x.repartition(min(n_blocks * islands, MOST_TASKS), "block", "island").groupBy("block", "island") for x in (each, elites)]
+        grouped = spread[0].cogroup(spread[1])
         bred = cut(grouped.applyInPandas(_epoch(capacity, epoch, generations, population), kind), f"{home}/epoch{epoch}")
         away = bred.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)))
         elites = bred.unionByName(away).dropDuplicates(["block", "island", "bins"])
