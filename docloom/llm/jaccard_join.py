@@ -14,7 +14,7 @@ document its component under links.
    either (``need``: four fifths of n, rounded up). These lead tokens make the matrix.
 3. Similar classes form groups, in a few rounds: each lead token names one of its groups (by a hash that
    differs from round to round), each class queries that of the groups named to it with which it
-   shares most tokens, and verified links join groups by connected components. A round's work is in
+   shares most tokens, and a group with a verified link goes under the group it is linked to. A round's work is in
    proportion to the tokens; it leaves few groups for the tokens that many similar texts share.
 4. The token-group matrix holds each group's union of lead tokens, of each member the part that a
    partner at least as large must meet (8 ninths of a set are in such a partner). A class queries the
@@ -54,7 +54,7 @@ FREQUENT, LEAST_FREQUENT = 1 << 21, 4
 #: Frequencies from here on are told apart only in the order, not in choosing what the table holds.
 HIGHEST = 1 << 12
 #: Rounds of grouping at most; they end when one gives no link.
-ROUNDS = 5
+ROUNDS = 4
 #: Members of a group, and queries to it, that one task compares.
 GROUP_PART, QUERY_CHUNK = 200, 1_000
 
@@ -345,8 +345,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
-        label = components(links, f"{home}/groups{k}")
-        groups = cut(sets.select("node", "n").join(label, "node", "left").select("node", "n", F.coalesce("label", "node").alias("grp")), f"{home}/members{k}")
+        # a linked group goes under the hub with the least hash; hashes fall along the way, so there is no ring
+        own = groups.select(F.col("node").alias("a"), F.col("grp").alias("own"))
+        up = new.join(asked.select(F.col("node").alias("a"), F.col("grp").alias("hub")), "a").join(own, "a")
+        up = up.groupBy("own").agg(F.min(F.struct(F.xxhash64("hub", F.lit(k)).alias("h"), "hub")).alias("x")).select("own", F.col("x.hub").alias("up"))
+        up = cut(up, f"{home}/up{k}")
+        for _ in range(2):
+            up = up.join(up.toDF("mid", "top"), F.col("up") == F.col("mid"), "left").select("own", F.coalesce("top", "up").alias("up"))
+        groups = groups.join(up, F.col("grp") == F.col("own"), "left").select("node", "n", F.coalesce("up", "grp").alias("grp"))
+        groups = cut(groups, f"{home}/members{k}")
 
     held = leads.join(groups.select("node", "grp"), "node")
     # tokens that stand in the same classes (those of one passage) give the same candidates: one of them stays
