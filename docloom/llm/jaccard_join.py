@@ -16,12 +16,12 @@ document its component under links.
    differs from round to round), each class queries that of the groups named to it with which it
    shares most tokens, and a group with a verified link goes under the group it is linked to. A round's work is in
    proportion to the tokens; it leaves few groups for the tokens that many similar texts share.
-4. The token-group matrix holds each group's union of lead tokens, of each member the part that a
-   partner at least as large must meet (8 ninths of a set are in such a partner). A class queries the
-   groups other than its own that hold one of its lead tokens and whose sizes allow a link with a
-   member no larger; the union of a group's
-   sets bounds the overlap, and only where it reaches ``need`` is the group opened, until one
-   member links: a group is connected already, so its other members add nothing.
+4. The token-group matrix holds each group's union of lead tokens, of each member the part that can
+   come first in common with a partner at least as large. A class queries the groups other than its
+   own that hold one of its lead tokens, where the places of the token and the sizes allow a link
+   with a member no larger; the union of a group's sets bounds the overlap, and only where it reaches
+   ``need`` is the group opened, until one member links: a group is connected already, so its other
+   members add nothing.
 
 Groups are opened in parts of bounded size, queries in chunks, so no group is one task. No pairs
 inside a group are made. Hashes have 64 bits.
@@ -64,9 +64,9 @@ def need(n):
     return (SIMILAR * n + WHOLE - 1) // WHOLE
 
 
-def need_of_smaller(n):
-    """Tokens of a set of n that a partner holds which is no smaller."""
-    return (2 * SIMILAR * n + SIMILAR + WHOLE - 1) // (SIMILAR + WHOLE)
+def reach(n, place):
+    """With the first common token at this place of a set of n, the partner's size times SIMILAR is at most this."""
+    return WHOLE * n - (SIMILAR + WHOLE) * place
 
 
 def _key(tokens: np.ndarray) -> int:
@@ -253,7 +253,7 @@ def _frequency_table(often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _leads(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     tokens, counts = sent.value
     for batch in batches:
-        out, nodes, sizes, firsts = [], [], [], []
+        out, nodes, sizes, reaches = [], [], [], []
         for node, n, data in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens"), strict=True):
             own = np.frombuffer(data.as_buffer(), np.uint64)
             rank = np.zeros(n, np.int64)
@@ -264,9 +264,9 @@ def _leads(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
             out.append(lead)
             nodes.append(np.full(len(lead), node, np.int64))
             sizes.append(np.full(len(lead), n, np.int64))
-            firsts.append(np.arange(len(lead)) <= n - need_of_smaller(n))
+            reaches.append(reach(n, np.arange(len(lead))))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([o.view(np.int64) for o in out], nodes, sizes, firsts)], names=["token", "node", "n", "early"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([o.view(np.int64) for o in out], nodes, sizes, reaches)], names=["token", "node", "n", "reach"])
 
 
 def _open(key, members: pa.Table, queries: pa.Table) -> pa.Table:
@@ -329,7 +329,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     often = sets.select("tokens").mapInArrow(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_FREQUENT)
     often = cut(often, f"{home}/often")
     sent = spark.sparkContext.broadcast(_frequency_table(often))
-    leads = sets.mapInArrow(lambda it: _leads(it, sent), "token long, node long, n long, early boolean")
+    leads = sets.mapInArrow(lambda it: _leads(it, sent), "token long, node long, n long, reach long")
     leads = cut(leads, f"{home}/leads")
 
     links, groups = None, sets.select("node", "n", F.col("node").alias("grp"))
@@ -356,14 +356,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         groups = cut(groups, f"{home}/members{k}")
 
     held = leads.join(groups.select("node", "grp"), "node")
-    # tokens that stand in the same classes (those of one passage) give the same candidates: one of them stays
-    same = [F.sum(F.xxhash64("node", "early").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("early", "node")).alias("x"), F.count("*").alias("k")]
+    # tokens that stand in the same classes (those of one passage) give the same candidates: the first in order stays
+    same = [F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.count("*").alias("k"), F.sum("reach").alias("r")]
     mixed = held.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), *same).filter("lo < hi")
-    mixed = mixed.groupBy("s", "x", "k").agg(F.min("token").alias("token")).select("token")
+    mixed = mixed.groupBy("s", "x", "k").agg(F.max(F.struct("r", "token")).alias("t")).select("t.token")
     held = cut(held.join(mixed, "token", "left_semi"), f"{home}/held")
-    matrix = held.filter("early").groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.col("own") != F.col("grp")) & (F.col("most") * WHOLE >= F.col("n") * SIMILAR) & (F.col("least") <= F.col("n"))
-    asked = held.select("token", "node", "n", F.col("grp").alias("own")).join(matrix, "token").filter(fits).select("node", "grp").distinct()
+    matrix = held.filter(F.col("reach") >= SIMILAR * F.col("n")).groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    fits = (F.col("own") != F.col("grp")) & (F.col("n") * SIMILAR <= F.col("most")) & (F.col("least") * SIMILAR <= F.col("reach")) & (F.col("least") <= F.col("n"))
+    asked = held.select("token", "node", "n", "reach", F.col("grp").alias("own")).join(matrix, "token").filter(fits).select("node", "grp").distinct()
     asked = cut(asked, f"{home}/asked")
     more = cut(_opened(asked, groups.select("node", "grp"), sets), f"{home}/links")
 
