@@ -367,7 +367,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     asked = cut(asked, f"{home}/asked")
     more = cut(_opened(asked, groups.select("node", "grp"), sets), f"{home}/links")
 
-    label = components(more if links is None else links.unionByName(more), f"{home}/final")
+    # a group lies in one component, so components are those of the groups under links between them
+    links = more if links is None else links.unionByName(more)
+    for end in ("a", "b"):
+        links = links.join(groups.select(F.col("node").alias(end), F.col("grp").alias(f"{end}_grp")), end)
+    between = links.select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b"))
+    label = components(between, f"{home}/final").withColumnRenamed("node", "grp")
+    label = groups.join(label, "grp", "left").select("node", F.coalesce("label", "grp").alias("label"))
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("class_id")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = nodes.groupBy("label").agg(F.min("class_id").alias("component_id"))
     out = rows.join(cut(nodes.join(names, "label").select("node", "class_id", "component_id"), f"{home}/nodes"), "node")
