@@ -54,7 +54,7 @@ FREQUENT, LEAST_FREQUENT = 1 << 21, 4
 #: Frequencies from here on are told apart only in the order, not in choosing what the table holds.
 HIGHEST = 1 << 12
 #: Rounds of grouping at most; they end when one gives no link.
-ROUNDS = 4
+ROUNDS = 2
 #: Members of a group, and queries to it, that one task compares.
 GROUP_PART, QUERY_CHUNK = 200, 1_000
 
