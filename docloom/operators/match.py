@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import composite_score, normalized, partial_ratio, token_set_ratio, token_sort_ratio
-from ..functions.text import normalize_text, strip
+from ..functions.text import edit_distance_share, normalize_text, strip
 
 # Least scores, line lengths and shares.
 DEALER_LEAST, MODEL_LEAST, SCAN_LEAST = 65.0, 75.0, 80.0
@@ -89,3 +91,57 @@ def scan_lines(lines: DataFrame, catalog: list[str], kind: str) -> DataFrame:
 def alternatives(candidates: Column, k: int = 3) -> Column:
     """The candidates after the best."""
     return F.slice(candidates, 2, k - 1)
+
+
+#: Shares of differing characters up to which segments find the candidates; what is left meets all lengths.
+NEAREST_ROUNDS = (0.25, 0.5)
+
+
+def _reach(n: int, share: float) -> range:
+    """Lengths of texts that can lie within ``share`` of one of ``n`` characters."""
+    return range(math.ceil(n * (1 - share) - 1e-9), math.floor(n / (1 - share) + 1e-9) + 1)
+
+
+def _segments(n: int, parts: int) -> list[tuple[int, int]]:
+    return [(i * n // parts, (i + 1) * n // parts) for i in range(parts)]
+
+
+def _keys(share: float, entry: bool):
+    """Keys of a text: within ``share``, of k + 1 segments of an entry k edits leave one whole, moved by k at most."""
+
+    @F.udf("array<string>")
+    def run(text: str) -> list[str]:
+        n, out = len(text), set()
+        for other in _reach(n, share):
+            size = n if entry else other
+            k = math.floor(share * max(n, other) + 1e-9)
+            for i, (a, b) in enumerate(_segments(size, k + 1)):
+                for at in (a,) if entry else range(max(0, a - k), min(n - (b - a), a + k) + 1):
+                    out.add(f"{other if entry else n}/{size}/{i}/{text[at : at + b - a]}")
+        return sorted(out)
+
+    return run
+
+
+def nearest_entries(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """(text, entry, nled): each distinct text's entry at the least edit distance over the longer length, of equals the first.
+
+    ``texts``: (text); ``entries``: (entry); nulls have no match. Round by round the pairs that share a
+    segment key are compared, which are all pairs within the round's share, so a match in reach is final. Texts
+    without one meet every distinct entry.
+    """
+    left, entries = texts.select("text").dropna().distinct(), entries.select("entry").dropna().distinct()
+    found = None
+    nled = edit_distance_share(F.col("text"), F.col("entry"))
+    for share in (*NEAREST_ROUNDS, None):
+        if share is None:
+            met = left.crossJoin(entries)
+        else:
+            mine = left.withColumn("key", F.explode(_keys(share, False)("text")))
+            met = mine.join(entries.withColumn("key", F.explode(_keys(share, True)("entry"))), "key").select("text", "entry").distinct()
+        met = met.withColumn("nled", nled)
+        met = met if share is None else met.filter(F.col("nled") <= share)
+        best = met.groupBy("text").agg(F.min(F.struct("nled", "entry")).alias("m")).select("text", "m.entry", "m.nled")
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best.select("text"), "text", "left_anti")
+    return found
