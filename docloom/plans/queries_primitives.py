@@ -161,6 +161,18 @@ def _boxes(spark, sf_dir) -> DataFrame:
     return rows.withColumn("copy", first).filter("copy = 1").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_idx"), G.box(x, y, x + 20 + F.col("l_quantity"), y + 12 + F.col("l_linenumber")).alias("bbox"))
 
 
+#: All rows: lines numbered anew, as line numbers repeat within an order.
+_ALL_BOX_SQL = """rows AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS line FROM lineitem),
+    boxes AS (SELECT l_orderkey AS doc_id, line AS line_idx, CAST(l_partkey % 400 AS DOUBLE) AS x0, CAST(l_suppkey % 90 * 7 AS DOUBLE) AS y0,
+    CAST(l_partkey % 400 + 20 + l_quantity AS DOUBLE) AS x1, CAST(l_suppkey % 90 * 7 + 12 + l_linenumber AS DOUBLE) AS y1, 1 AS copy FROM rows)"""
+
+
+def _all_boxes(spark, sf_dir) -> DataFrame:
+    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    x, y = F.col("l_partkey") % 400, F.col("l_suppkey") % 90 * 7
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), line.alias("line_idx"), G.box(x, y, x + 20 + F.col("l_quantity"), y + 12 + F.col("l_linenumber")).alias("bbox"))
+
+
 _NEAR = """SELECT doc_id, line_idx, {name}_idx, dist, greatest(0.5, 1 - dist / {most}) AS score FROM (
     SELECT a.doc_id, a.line_idx, b.line_idx AS {name}_idx, {dist} AS dist, row_number() OVER (PARTITION BY a.doc_id, a.line_idx ORDER BY {dist}, b.line_idx) AS r
     FROM b1 a JOIN b1 b ON a.doc_id = b.doc_id AND a.line_idx <> b.line_idx WHERE {where}) WHERE r = 1"""
@@ -178,6 +190,12 @@ def _near_query(name, find):
 
     QUERIES[f"spatial_{name}_neighbor"], ORACLES[f"spatial_{name}_neighbor"] = QUERIES.pop("run"), ORACLES.pop("run")
 
+    @query(ORACLES[f"spatial_{name}_neighbor"].replace(_BOX_SQL, _ALL_BOX_SQL))
+    def run(spark, sf_dir):
+        return find(_all_boxes(spark, sf_dir)).withColumns({"dist": F.round("dist", 6), "score": F.round("score", 6)})
+
+    QUERIES[f"spatial_{name}_neighbor_all"], ORACLES[f"spatial_{name}_neighbor_all"] = QUERIES.pop("run"), ORACLES.pop("run")
+
 
 _near_query("right", spatial.right_neighbors)
 _near_query("below", spatial.below_neighbors)
@@ -189,7 +207,15 @@ _near_query("below", spatial.below_neighbors)
     SELECT doc_id, line_idx, round(w * h / ((ax1 - ax0) * (ay1 - ay0) + (x1 - x0) * (y1 - y0) - w * h), 6) AS iou, round(h / least(ay1 - ay0, y1 - y0), 6) AS v_overlap,
         round(w / least(ax1 - ax0, x1 - x0), 6) AS h_overlap FROM p""")
 def box_iou_overlap(spark, sf_dir):
-    b = _boxes(spark, sf_dir)
+    return _overlaps(_boxes(spark, sf_dir))
+
+
+@query(ORACLES["box_iou_overlap"].replace(_BOX_SQL, _ALL_BOX_SQL))
+def box_iou_overlap_all(spark, sf_dir):
+    return _overlaps(_all_boxes(spark, sf_dir))
+
+
+def _overlaps(b: DataFrame) -> DataFrame:
     pairs = b.join(b.select("doc_id", (F.col("line_idx") - 1).alias("line_idx"), F.col("bbox").alias("o")), ["doc_id", "line_idx"])
     x, o = F.col("bbox"), F.col("o")
     return pairs.select("doc_id", "line_idx", F.round(G.iou(x, o), 6).alias("iou"), F.round(G.vertical_overlap(x, o), 6).alias("v_overlap"), F.round(G.horizontal_overlap(x, o), 6).alias("h_overlap"))

@@ -35,3 +35,27 @@ def test_every_part_has_a_match(spark):
         typed = r.p_name.replace("a", "o")
         want[r.p_partkey] = min((round(distance(typed, n) / max(len(typed), len(n)), 6), n) for n in names)[::-1]
     assert {r.p_partkey: (r.entry, r.nled) for r in entry.queries()["entity_match_levenshtein_all"](spark, f"{SF}/../sf0.01").collect()} == want
+
+
+def test_every_line_is_a_box(spark):
+    """Each box's nearest right neighbour and its overlap with the next, over all rows."""
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").collect()
+    docs = {}
+    for r in sorted(rows, key=lambda r: (r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey, r.l_quantity)):
+        x, y = r.l_partkey % 400, r.l_suppkey % 90 * 7
+        docs.setdefault(r.l_orderkey, []).append((x, y, x + 20 + float(r.l_quantity), y + 12 + r.l_linenumber))
+    right = {}
+    for d, boxes in docs.items():
+        for i, a in enumerate(boxes, 1):
+            found = []
+            for j, b in enumerate(boxes, 1):
+                ya, yb, ha, hb = (a[1] + a[3]) / 2, (b[1] + b[3]) / 2, a[3] - a[1], b[3] - b[1]
+                level = max(0, min(a[3], b[3]) - max(a[1], b[1])) / min(ha, hb) >= 0.3 or abs(ya - yb) <= max(10, (ha + hb) / 2 * 0.6)
+                if i != j and -10 <= b[0] - a[2] <= 600 and level:
+                    found.append(((max(0, b[0] - a[2]) ** 2 + (ya - yb) ** 2) ** 0.5, j))
+            if found:
+                right[d, i] = min(found)[1]
+    assert len(rows) > len({(r.l_orderkey, r.l_linenumber) for r in rows})
+    got = entry.queries()
+    assert {(r.doc_id, r.line_idx): r.right_idx for r in got["spatial_right_neighbor_all"](spark, SF).collect()} == right
+    assert {(r.doc_id, r.line_idx) for r in got["box_iou_overlap_all"](spark, SF).collect()} == {(d, i) for d, b in docs.items() for i in range(1, len(b))}
