@@ -33,7 +33,8 @@ from ._text import mix, prefix_hash, span_hash, window_hashes, word_spans
 ORDER = 4
 SIZE = N_CLASSES**ORDER
 #: Interquartile distances beyond the quartiles at which the band of log perplexity ends: below, above.
-SPREADS = (6.0, 4.0)
+#: Set on labelled documents (README): wider bands reject no junk at all in some languages.
+SPREADS = (2.0, 2.0)
 #: Fixed values of the base rules: least words, greatest percentage of repeated words.
 LEAST_WORDS, MOST_REPEATED = 20, 30
 SYMBOLS = "#*$%&|<>"
