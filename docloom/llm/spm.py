@@ -3,11 +3,12 @@
 A text's blanks become the word mark and a mark is put in front. No piece has a mark after another
 character, so a segment (marks and what follows up to the next mark) is encoded by itself. The agenda
 holds the possible merges of neighbouring symbols; the best scored, leftmost one is done first. A
-candidate is skipped for good if the keyed hash of (seed, variant, places of both symbols, merged
-piece) falls below the dropout rate; a segment's variant, one of ``VARIANTS``, comes from the keyed
-hash of seed, document and the segment's number, so occurrences of a word are cut differently, and
-any run with the same seed gives the same ids. Segments are encoded many at a time by array
-operations, each segment and variant once per worker; long segments go through a heap.
+candidate is skipped for good if the keyed hash of (seed, document, the segment's number, places of
+both symbols, merged piece) falls below the dropout rate, so every occurrence of a word draws its own
+merges, and any run with the same seed gives the same ids. What a segment can merge at all is found
+once per worker; each occurrence draws for all of that, and segments with the same draws, which have
+the same ids, are encoded once. Segments are encoded many at a time by array operations; segments of
+more than ``SHORT`` characters each by themselves, long ones through a heap.
 
 Characters without a piece become byte pieces. A word mark that stands in the text itself is written
 in bytes too, so decoding gives back every text exactly.
@@ -33,11 +34,12 @@ from ._table import IdTable
 from ._text import mix, powers
 
 MARK = "▁"
-#: Rate at which merges are skipped, and the different cuts of a segment that a seed allows.
-DROPOUT, VARIANTS = 0.1, 4
-REMEMBERED = 1_000_000
-#: Segments of more characters go through the heap.
-LONG = 48
+#: Rate at which merges are skipped.
+DROPOUT = 0.1
+#: Encodings, and segments with their possible merges, that a worker keeps.
+REMEMBERED, LISTED = 1_000_000, 200_000
+#: Segments of more characters go through the heap, and those whose possible merges are not listed.
+LONG, SHORT = 48, 15
 #: Stands for a word mark of the text itself.
 _OWN_MARK = 0x110000
 _NONE = np.int64(1 << 40)
@@ -100,10 +102,36 @@ class Model:
         return np.array([self.symbol_of_char.get(p, -1 - p) for p in wide.tolist()], np.int64)[which]
 
 
-def _skip(key, left, right, merged, rate: float):
-    """Whether the keyed hash drops a candidate: ``key`` of the segment, places of its symbols, its piece."""
-    h = key + np.uint64(0x9E3779B97F4A7C15) * (left.astype(np.uint64) * np.uint64(1 << 42) + right.astype(np.uint64) * np.uint64(1 << 20) + merged.astype(np.uint64))
-    return mix(h) < np.uint64(int(rate * (2**64 - 1)))
+def _candidate(left, right, merged):
+    """What stands for a candidate in its keyed hash: places of its symbols, its piece."""
+    return np.uint64(0x9E3779B97F4A7C15) * (left.astype(np.uint64) * np.uint64(1 << 42) + right.astype(np.uint64) * np.uint64(1 << 20) + merged.astype(np.uint64))
+
+
+def _skip(key, candidate, rate: float):
+    """Whether the keyed hash drops a candidate of the segment that has ``key``."""
+    return mix(key + candidate) < np.uint64(int(rate * (2**64 - 1)))
+
+
+def possible_merges(model: Model, table: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All merges that any draw can bring up, packed (places 4 bits each, piece 24), by segment; how many each has."""
+    n, width = table.shape
+    spans = {(i, i + 1): np.where(i < sizes, table[:, i], -1) for i in range(width)}
+    found = []
+    for length in range(2, width + 1):
+        for i in range(width - length + 1):
+            j = i + length
+            whole = np.full(n, -1, np.int64)
+            for k in range(i + 1, j):
+                rows = np.flatnonzero((spans[i, k] >= 0) & (spans[k, j] >= 0))
+                merged = model.look(spans[i, k][rows], spans[k, j][rows])
+                rows, merged = rows[merged >= 0], merged[merged >= 0]
+                whole[rows] = merged
+                found.append((rows, i << 28 | k << 24 | merged))
+            spans[i, j] = whole
+    rows = np.concatenate([r for r, _ in found] or [np.zeros(0, np.int64)])
+    order = np.argsort(rows, kind="stable")
+    packed = np.concatenate([p for _, p in found] or [np.zeros(0, np.int64)])[order]
+    return packed.astype(np.uint32), np.bincount(rows, minlength=n)
 
 
 def merge_many(model: Model, table: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +147,7 @@ def merge_many(model: Model, table: np.ndarray, sizes: np.ndarray, keys: np.ndar
         merged = model.look(left, right)
         ok = there & (merged >= 0)
         if rate:
-            ok &= ~_skip(keys[rows], at_left, at_right, np.maximum(merged, 0), rate)
+            ok &= ~_skip(keys[rows], _candidate(at_left, at_right, np.maximum(merged, 0)), rate)
         return np.where(ok, merged, -1)
 
     rows = np.arange(n)
@@ -159,7 +187,7 @@ def merge_long(model: Model, symbols: np.ndarray, key: np.uint64, rate: float) -
         merged = model.look(np.array([sym[i] for i in lefts], np.int64), np.array([sym[i] for i in rights], np.int64))
         ok = merged >= 0
         if rate:
-            ok &= ~_skip(np.full(len(lefts), key, np.uint64), lefts, rights, np.maximum(merged, 0), rate)
+            ok &= ~_skip(np.full(len(lefts), key, np.uint64), _candidate(lefts, rights, np.maximum(merged, 0)), rate)
         for i, j, m in zip(lefts[ok].tolist(), rights[ok].tolist(), merged[ok].tolist(), strict=True):
             heapq.heappush(agenda, (int(model.rank[m]), i, j, m, sym[i], sym[j]))
 
@@ -180,9 +208,9 @@ def merge_long(model: Model, symbols: np.ndarray, key: np.uint64, rate: float) -
 
 
 class Encoder:
-    def __init__(self, path: str, seed: int = 0, rate: float = DROPOUT, variants: int = VARIANTS):
-        self.model, self.seed, self.rate, self.variants = Model(path), seed, rate, variants if rate else 1
-        self.table = IdTable(REMEMBERED)
+    def __init__(self, path: str, seed: int = 0, rate: float = DROPOUT):
+        self.model, self.seed, self.rate = Model(path), seed, rate
+        self.table, self.merges = IdTable(REMEMBERED), IdTable(LISTED)
 
     def encode(self, texts: list[str], docs: list[int]) -> list[np.ndarray]:
         """Ids of each text; ``docs``: the documents' keys."""
@@ -204,21 +232,61 @@ class Encoder:
         owner = np.searchsorted(edges, starts, "right") - 1
         number = np.arange(len(starts)) - np.searchsorted(starts, edges[owner])
         salt = np.array([int.from_bytes(hashlib.blake2b(b"%d/%d" % (self.seed, d or 0), digest_size=8).digest(), "big") for d in docs], np.uint64)
-        variant = mix(salt[owner] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.variants)
+        own = mix(salt[owner] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         up, down = powers(len(points))
         prefix = np.zeros(len(points) + 1, np.uint64)
         np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=prefix[1:])
         content = mix((prefix[ends] - prefix[starts]) * down[starts])
-        keys = mix(content + variant * np.uint64(0xD1B54A32D192ED03) + np.uint64(self.seed & 0xFFFFFFFF))
+        keys = self._draws(content, own, points, starts, ends) if self.rate else content
         unique, at, which = np.unique(keys, return_index=True, return_inverse=True)
         fresh = self.table.missing(unique)
         if len(fresh):
-            self._learn(unique[fresh], points, starts[at[fresh]], ends[at[fresh]])
+            at = at[fresh]
+            self._learn(unique[fresh], own[at], points, starts[at], ends[at])
         ids, to = self.table.spell(unique, which)
         cut = to[np.searchsorted(starts, edges)]
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
-    def _learn(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _draws(self, content: np.ndarray, own: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A key per segment of its content and the merges that its draw skips; of long ones, of the occurrence."""
+        out = mix(content + own)
+        short = np.flatnonzero(ends - starts <= SHORT)
+        if not len(short):
+            return out
+        unique, at, which = np.unique(content[short], return_index=True, return_inverse=True)
+        fresh = self.merges.missing(unique)
+        if len(fresh):
+            self._list(unique[fresh], points, starts[short[at[fresh]]], ends[short[at[fresh]]])
+        packed, to = self.merges.spell(unique, which)
+        packed = packed.astype(np.int64)
+        candidate = _candidate(packed >> 28, packed >> 24 & 15, packed & 0xFFFFFF)
+        hit = np.flatnonzero(_skip(np.repeat(own[short], np.diff(to)), candidate, self.rate))
+        total = np.zeros(len(hit) + 1, np.uint64)
+        np.cumsum(mix(candidate[hit] + np.uint64(1)), out=total[1:])
+        edge = np.searchsorted(hit, to)
+        out[short] = mix(content[short] + (total[edge[1:]] - total[edge[:-1]]))
+        return out
+
+    def _list(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        symbols, sizes = self.model.symbols(points), ends - starts
+        rows_, flats, counts_ = [], [], []
+        low = 0
+        for width in (4, 6, 8, 10, 12, SHORT):
+            rows = np.flatnonzero((sizes > low) & (sizes <= width))
+            low = width
+            if len(rows):
+                at = starts[rows][:, None] + np.arange(width)
+                flat, counts = possible_merges(self.model, symbols[np.minimum(at, len(symbols) - 1)], sizes[rows])
+                rows_.append(rows)
+                flats.append(flat)
+                counts_.append(counts)
+        rows, flat, counts = np.concatenate(rows_), np.concatenate(flats), np.concatenate(counts_)
+        order = np.argsort(rows)
+        begin, counts = (np.cumsum(counts) - counts)[order], counts[order]
+        to = np.cumsum(counts)
+        self.merges.learn(keys, flat[np.repeat(begin - (to - counts), counts) + np.arange(to[-1])], counts)
+
+    def _learn(self, keys: np.ndarray, own: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         symbols, sizes = self.model.symbols(points), ends - starts
         rows_, flats, counts_ = [], [], []
         low = 0
@@ -230,12 +298,12 @@ class Encoder:
                 at = starts[rows][:, None] + np.arange(width)
                 inside = np.arange(width) < sizes[rows][:, None]
                 table = np.where(inside, symbols[np.minimum(at, len(symbols) - 1)], -1)
-                done, count = merge_many(self.model, table, sizes[rows], keys[rows], self.rate)
+                done, count = merge_many(self.model, table, sizes[rows], own[rows], self.rate)
                 rows_.append(rows)
                 flats.append(done[np.arange(width) < count[:, None]])
                 counts_.append(count)
         for i in np.flatnonzero(sizes > LONG).tolist():
-            one = merge_long(self.model, symbols[starts[i] : ends[i]], keys[i], self.rate)
+            one = merge_long(self.model, symbols[starts[i] : ends[i]], own[i], self.rate)
             rows_.append([i])
             flats.append(np.array(one, np.int64))
             counts_.append([len(one)])
@@ -307,9 +375,9 @@ def _encode(batches: Iterator[pa.RecordBatch], settings: tuple, with_ids: bool)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def encode(docs: DataFrame, model_path: str, *, seed: int = 0, rate: float = DROPOUT, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, *, seed: int = 0, rate: float = DROPOUT, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_crc32, decoded_sha256, lossless[, ids]), one per document."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(id_col), F.lit(0)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    settings = (model_path, seed, rate, variants)
+    settings = (model_path, seed, rate)
     return rows.mapInArrow(lambda it: _encode(it, settings, with_ids), f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean" + ", ids array<long>" * with_ids)

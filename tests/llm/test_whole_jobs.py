@@ -2,7 +2,11 @@
 
 import collections
 
-from docloom.llm import quality
+import numpy as np
+
+from docloom.llm import quality, spm
+from docloom.llm._text import mix
+from docloom.llm.queries import tokenizer_path
 
 
 # 6 quality
@@ -17,3 +21,25 @@ def test_bands_reject_labelled_junk_in_every_language(spark):
     assert {k[0] for k in asked} >= {"de", "en", "es", "fr"}
     for lang in ("de", "en", "es", "fr"):
         assert rejected[lang, 0] >= 0.3 * asked[lang, 0] and rejected[lang, 1] <= 0.04 * asked[lang, 1]
+
+
+# 8 SentencePiece
+def test_every_occurrence_draws_its_own_merges():
+    path = tokenizer_path("piece_bpe_32k.model")
+    encoder, text = spm.Encoder(path, 1, 0.3), " ".join(["internationalisation", "reading", "words"] * 400)
+    ids = encoder.encode([text, text], [5, 6])
+    assert [encoder.decode(x) for x in ids] == [text, text] and ids[0].tolist() != ids[1].tolist()
+    cuts = {tuple(encoder.encode(["internationalisation"], [d])[0].tolist()) for d in range(100)}
+    assert len(cuts) > 20
+
+
+def test_remembered_draws_are_those_of_each_occurrence():
+    path, words = tokenizer_path("piece_bpe_32k.model"), ["reading", "a", "blue", "été123", "international", "internationalisation", "aaaaaaaa"] * 60
+    encoder = spm.Encoder(path, 3, 0.2)
+    salt = np.uint64(int.from_bytes(spm.hashlib.blake2b(b"3/9", digest_size=8).digest(), "big"))
+    want = []
+    for k, word in enumerate(words):
+        symbols = encoder.model.symbols(np.array([ord(c) for c in "▁" + word], np.uint32))
+        own = mix(np.array([salt]) + np.array([k], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
+        want += encoder._spell(np.array(spm.merge_long(encoder.model, symbols, own, 0.2), np.int64))[0].tolist()
+    assert encoder.encode([" ".join(words)], [9])[0].tolist() == want
