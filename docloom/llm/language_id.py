@@ -1,7 +1,9 @@
 """Language identification as a multilingual mixture.
 
-Training counts character trigrams per language over all training documents (``_grams`` bounds the
-trigrams, so a model has at most 42**3 figures a language). A document is a sequence of words; each
+Training counts character trigrams per language over all training documents. Letters and marks of
+every script are told apart by code point, in lower case; blanks, digits, sentence marks and symbols
+are a class each. Trigrams are hashed into ``SIZE`` buckets, so a model has that many figures a
+language, whatever the scripts; trigrams that share a bucket share its figure. A document is a sequence of words; each
 word's trigrams give it a likelihood under every language. Expectation-maximisation estimates the
 proportions in which the languages generate the words; languages whose removal raises the likelihood
 less a penalty per language are taken out, smallest share first, and the proportions re-estimated.
@@ -14,6 +16,7 @@ nothing and predicts ``und``; other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +25,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._grams import N_CLASSES, classes, grams
+from ._grams import classes
+from ._text import mix
 
 ORDER = 3
-SIZE = N_CLASSES**ORDER
+#: Buckets of hashed trigrams.
+SIZE = 1 << 17
 SMOOTHING = 0.5
 #: EM rounds and the change of a share at which it ends.
 ROUNDS, SETTLED = 30, 1e-3
@@ -36,6 +41,36 @@ UND = "und"
 HELD_LANGUAGES = 64
 
 
+_MARKS: dict[int, bool] = {}
+
+
+def _is_mark(point: int) -> bool:
+    if point not in _MARKS:
+        _MARKS[point] = unicodedata.category(chr(point))[0] == "M"
+    return _MARKS[point]
+
+
+def symbols(text: str) -> np.ndarray:
+    """Per character of the text in lower case: the class of ``_grams`` up to 3, or the code point of a letter or mark."""
+    text = text.lower()
+    kinds = classes(text, fold=True)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.where(kinds >= 4, points, kinds)
+    far = np.flatnonzero((points >= 0x300) & (kinds == 3))
+    if len(far):
+        wide, which = np.unique(points[far], return_inverse=True)
+        out[far] = np.where(np.array([_is_mark(p) for p in wide.tolist()])[which], points[far], 3)
+    return out
+
+
+def trigrams(symbols: np.ndarray) -> np.ndarray:
+    """Buckets of all runs of three symbols, the text being preceded by blanks; one per character."""
+    padded = np.concatenate([np.zeros(ORDER - 1, np.uint64), symbols.astype(np.uint64)])
+    n = len(symbols)
+    code = padded[:n] << np.uint64(42) | padded[1 : n + 1] << np.uint64(21) | padded[2:]
+    return (mix(code) & np.uint64(SIZE - 1)).astype(np.int32)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
@@ -51,7 +86,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
-            lang, codes = lang.as_py(), grams(classes(text.as_py(), fold=True), ORDER)
+            lang, codes = lang.as_py(), trigrams(symbols(text.as_py()))
             if lang not in held:
                 if len(held) >= HELD_LANGUAGES:
                     yield from hand_on()
@@ -108,13 +143,13 @@ def mixture(words: np.ndarray) -> tuple[np.ndarray, list[int]]:
 
 def word_likelihoods(text: str, table: np.ndarray) -> np.ndarray:
     """Log likelihoods of the words that have a letter; no row if there is none."""
-    kinds = classes(text, fold=True)
+    kinds = symbols(text)
     solid = kinds > 0
     starts = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]])) if len(kinds) else np.zeros(0, int)
     if not len(starts):
         return np.zeros((0, table.shape[1]))
     lettered = np.add.reduceat((kinds >= 4).astype(np.int32), starts) > 0
-    sums = np.add.reduceat(table[grams(kinds, ORDER)], starts, axis=0, dtype=np.float32)
+    sums = np.add.reduceat(table[trigrams(kinds)], starts, axis=0, dtype=np.float32)
     return sums[lettered].astype(np.float64)
 
 

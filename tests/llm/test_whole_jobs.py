@@ -1,10 +1,11 @@
 """Operators held to the whole of their job: what a cut in the method would miss."""
 
 import collections
+import random
 
 import numpy as np
 
-from docloom.llm import quality, spm
+from docloom.llm import language_id, quality, spm
 from docloom.llm._text import mix
 from docloom.llm.queries import tokenizer_path
 
@@ -43,3 +44,18 @@ def test_remembered_draws_are_those_of_each_occurrence():
         own = mix(np.array([salt]) + np.array([k], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
         want += encoder._spell(np.array(spm.merge_long(encoder.model, symbols, own, 0.2), np.int64))[0].tolist()
     assert encoder.encode([" ".join(words)], [9])[0].tolist() == want
+
+
+# 10 language
+def test_languages_of_one_script_are_told_apart(spark):
+    """Words of equal lengths, of letters outside a-z: only the letters tell the languages."""
+    random.seed(5)
+    alphabets = {"ru": "абвгдежзик", "uk": "єіїґжщюяьф", "el": "αβγδεζηθικ", "hi": "कखगघि\u0940ुूेै", "pl": "ąćęłńśźżwk", "zh": "天地玄黄宇宙洪荒日月", "ja": "のにはをたがでてとし"}
+    text = lambda lang: " ".join("".join(random.choice(alphabets[lang]) for _ in range(k % 4 + 3)) for k in range(40))
+    rows = spark.createDataFrame([(k, text(lang), lang) for k in range(30) for lang in alphabets], "doc_id long, text string, lang string")
+    model = language_id.train(rows)
+    new = [(k, text(lang), lang) for k in range(100, 105) for lang in alphabets]
+    got = language_id.identify(spark.createDataFrame([(f"{k}{lang}", t) for k, t, lang in new], "doc_id string, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {f"{k}{lang}": lang for k, _, lang in new}
+    mixed = text("ru") + " " + text("hi")
+    assert set(language_id.identify(spark.createDataFrame([("x", mixed)], "doc_id string, text string"), model).first().lang_set) == {"ru", "hi"}
