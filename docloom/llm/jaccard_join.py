@@ -27,8 +27,8 @@ Groups are opened in parts of bounded size, queries in chunks, so no group is on
 inside a group are made. Hashes have 64 bits.
 
 Defined results: null text counts as empty; an empty set links with nothing and is its own component;
-a text of fewer than five words is one shingle; repeated rows are copies; a null id never names a
-component unless it has no other id; an empty table gives no rows; other columns are not read.
+a text of fewer than five words is one shingle; repeated rows are copies; rows with null ids link as
+others do, but a null id never names a component unless it has no other id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._common import cut, only_keys, without_keys, work_dir
 from ._graph import components
@@ -211,6 +212,13 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())], names=["node", "n", "tokens"])
 
 
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of all texts that have one, under their own class keys."""
+    for batch in batches:
+        sets = [s for s in _sets(batch) if len(s)]
+        yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "tokens"])
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
@@ -308,6 +316,11 @@ def _opened(asked: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, class_id, component_id), one per document."""
+    return _components(docs, id_col, text_col).drop("node", "label")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same with the keys of the document's class and component: node, label."""
     spark = docs.sparkSession
     home = work_dir(spark, "jaccard")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -322,7 +335,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     first = cut(rows.join(likely, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), f"{home}/first")
     chosen = only_keys(texts, first, ["doc_id"]).join(first, "doc_id")
-    sets = cut(chosen.select("node", "text").mapInArrow(_store, "node long, n long, tokens binary"), f"{home}/sets")
+    found = chosen.select("node", "text").mapInArrow(_store, "node long, n long, tokens binary")
+    nameless = first.filter("doc_id IS NULL").select("node")  # classes without an id: their texts are found by class key
+    own = texts.filter("doc_id IS NULL").select("text").mapInArrow(_own, "node long, n long, tokens binary")
+    own = only_keys(own, nameless, ["node"]).join(nameless, "node", "left_semi").dropDuplicates(["node"])
+    sets = cut(found.unionByName(own), f"{home}/sets")
     if _repeats(rows):
         sets = sets.dropDuplicates(["node"])
 
@@ -376,9 +393,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     label = groups.join(label, "grp", "left").select("node", F.coalesce("label", "grp").alias("label"))
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("class_id")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = nodes.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    out = rows.join(cut(nodes.join(names, "label").select("node", "class_id", "component_id"), f"{home}/nodes"), "node")
+    out = rows.join(cut(nodes.join(names, "label").select("node", "label", "class_id", "component_id"), f"{home}/nodes"), "node")
     empty = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "label")
 
 
 def _repeats(rows: DataFrame) -> bool:
@@ -386,7 +403,35 @@ def _repeats(rows: DataFrame) -> bool:
 
 
 def keep_one_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the smallest id (with its repeated rows, if any)."""
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_col))
-    return without_keys(docs, cut(gone, f"{work_dir(docs.sparkSession, 'gone')}/rows"), [id_col])
+    """``docs`` with one document of each component: the smallest id (with its repeated rows, if any).
+
+    Without an id in a component, the least class key stays. An id that only some of its texts lose, or
+    null, does not tell which rows go; those rows are removed by id and class key.
+    """
+    home = work_dir(docs.sparkSession, "gone")
+    found = _components(docs, id_col, text_col)
+    least = found.filter("component_id IS NULL AND n_shingles > 0").groupBy("label").agg(F.min("node").alias("least"))
+    other = ~F.col("doc_id").eqNullSafe(F.col("component_id")) | F.coalesce(F.col("node") != F.col("least"), F.lit(False))
+    found = found.join(least, "label", "left").select(F.col("doc_id").alias(id_col), "node", (other & (F.col("n_shingles") > 0)).alias("goes"))
+    found = cut(found, f"{home}/rows")
+    gone = found.filter("goes").select(id_col, "node").distinct()
+    some = cut(found.groupBy(id_col).agg(F.min("goes").alias("all"), F.max("goes").alias("any")).filter("any AND NOT all").select(id_col), f"{home}/some")
+    if some.isEmpty():
+        return without_keys(docs, gone.select(id_col), [id_col])
+    whole = without_keys(gone, some, [id_col]).select(id_col)
+    rest = without_keys(docs, whole, [id_col])
+    clear = without_keys(rest, some, [id_col])
+
+    def keyed(batches):
+        for batch in batches:
+            named = pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text_col)], names=["doc_id", "text"])
+            keys = [_key(x) for x in _sets(named)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, _NODE])
+
+    mixed = some.select(F.col(id_col).alias("k"))
+    unclear = rest.join(mixed, F.col(id_col).eqNullSafe(F.col("k")), "left_semi")
+    unclear = unclear.mapInArrow(keyed, StructType([*docs.schema.fields, StructField(_NODE, LongType())]))
+    return clear.unionByName(without_keys(unclear, gone.withColumnRenamed("node", _NODE), [id_col, _NODE]).drop(_NODE))
+
+
+_NODE = "__docloom_node"

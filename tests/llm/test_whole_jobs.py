@@ -5,11 +5,26 @@ import random
 
 import numpy as np
 
-from docloom.llm import language_id, quality, spm
+from docloom.llm import jaccard_join, language_id, quality, spm
 from docloom.llm._text import mix
 from docloom.llm.queries import tokenizer_path
 
 
+# 5 Jaccard
+def test_rows_without_ids_link_and_go_by_text(spark):
+    text = lambda name, *more: " ".join([*(f"{name}{i}" for i in range(60)), *more])
+    rows = [
+        (1, text("a")), (None, text("a")), (None, text("b")), (None, text("c")), (None, text("c", "end")), (5, text("d")), (None, text("d", "end")),
+        (9, text("a", "end")), (9, text("e")), (None, None), (7, text("f")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert (None, 57, 5) in found and (None, 57, None) in found
+    kept = [tuple(r) for r in jaccard_join.keep_one_each(docs).collect()]
+    c = [k for k in kept if k in (rows[3], rows[4])]
+    assert len(c) == 1 and sorted(map(str, kept)) == sorted(map(str, [rows[0], rows[2], *c, rows[5], rows[8], rows[9], rows[10]]))
+
+
 # 6 quality
 def test_bands_reject_labelled_junk_in_every_language(spark):
     sf = "/root/testdata/sf0.1"
