@@ -19,9 +19,10 @@ document its component under links.
 4. The token-group matrix holds each group's union of lead tokens, of each member the part that can
    come first in common with a partner at least as large. A class queries the groups other than its
    own that hold one of its lead tokens, where the places of the token and the sizes allow a link
-   with a member no larger; the union of a group's sets bounds the overlap, and only where it reaches
-   ``need`` is the group opened, until one member links: a group is connected already, so its other
-   members add nothing.
+   with a member no larger. The query's set and the sets of the group's members then travel to one task
+   (no union is stored beforehand), which makes the union of the members' sets: it bounds the overlap, and
+   only where it reaches ``need`` are members compared, until one links: a group is connected already, so
+   its other members add nothing.
 
 Groups are opened in parts of bounded size, queries in chunks, so no group is one task. No pairs
 inside a group are made. Hashes have 64 bits.
