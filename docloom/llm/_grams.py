@@ -1,4 +1,4 @@
-"""Character classes and their n-grams, for the two n-gram models.
+"""Character classes and their n-grams, for the quality model; language ID only uses the classes.
 
 Characters map to a fixed, small alphabet, so the number of possible n-grams, and with it every
 model's size, is bounded whatever the corpus holds.
