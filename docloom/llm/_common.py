@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -15,10 +17,13 @@ BLOCK_BYTES = 1 << 20
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    The setting is only filled in where the session has none, as in tests on one machine.
+    The setting is only filled in where the session has none and all tasks run in the driver's process,
+    as in tests on one machine; a cluster without it is refused, as executors could not see the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -74,6 +79,15 @@ def without_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return never_keys(df, keys, on).unionByName(here.join(there, same, "left_anti"))
 
 
+def give_back() -> None:
+    """Hand a Python worker's freed memory back to the machine: workers stay alive between stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(lengths, limit: int = BLOCK_BYTES):
     """Row ranges (start, end) whose summed lengths stay within ``limit``, one row at least."""
     start, total = 0, 0

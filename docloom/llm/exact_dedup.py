@@ -4,11 +4,14 @@ Each document becomes a narrow row: digest of its normalised text, stable id, le
 locator (file and row). A Structured Streaming query reads these rows in bounded micro-batches and
 keeps one state entry per digest, without watermark and so without expiry, in RocksDB: the row that
 stays, where its content is, and how many there are. The finished state is read back with the state
-reader. Rows that hit an entry of another document are then compared with that document's whole
-normalised text; should a digest ever cover different texts, its rows are grouped again by the text.
+reader. The contents of an entry and of the rows that hit it are then fetched by their locators, and
+each hit's whole normalised text is compared with the entry's; should a digest ever cover different
+texts, its rows are grouped again by the text. Every text is normalised and hashed once, and only the
+texts of groups are read and normalised a second time.
 
 Everything is DataFrame or SQL functions; the stream aggregates map-side before it shuffles, so a hot
-digest reaches its state as one row per task, and the byte check salts hot digests.
+digest reaches its state as one row per task, and the byte check salts hot digests. Rows that do not
+come straight from Parquet files are written first, so that each has a locator.
 
 Equal means: identical after deleting every space and control from tab to carriage return. The row
 with the most code points stays, then the one with the smallest id (a null id counts as the largest).
@@ -19,10 +22,12 @@ stays; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, only_keys, without_keys, work_dir
+from ._common import cut, discard, only_keys, without_keys, work_dir
 
 #: Fixed set of characters that do not count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -33,7 +38,8 @@ _CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
@@ -65,57 +71,70 @@ def _state(rows: DataFrame, home: str, files_per_batch: int) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 1000) -> DataFrame:
-    """Rows (doc_id, keep_id, group_size, kept, text_sha256), one per document."""
-    spark = docs.sparkSession
-    home = work_dir(spark, "exact")
+#: Plan nodes under which a row still is one row of one file.
+_ROWWISE = {"Project", "Filter", "Relation", "SubqueryAlias"}
+_AT = "__docloom_at"
+
+
+def _digest(bare: Column) -> Column:
+    return F.sha2(bare.cast("binary"), 256)
+
+
+def _located(docs: DataFrame, home: str) -> DataFrame:
+    """``docs`` with the content locator of each row; rows that are not straight from Parquet files are written first."""
+    plan = docs._jdf.queryExecution().analyzed().toString()
+    nodes = {m[1] for m in re.finditer(r"^[\s:+|-]*'?(\w+)", plan, re.M)}
+    if not (nodes <= _ROWWISE and re.search(r"Relation\b.* parquet\s*$", plan)):
+        docs = cut(docs, f"{home}/docs")
+    return docs.withColumn(_AT, F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, files_per_batch: int) -> tuple[DataFrame, DataFrame, str]:
+    """``docs`` with locators; per row (doc_id, key_id, digest, locator, keep_id, keep_locator, group_size); the work folder."""
+    home = work_dir(docs.sparkSession, "exact")
+    located = _located(docs, home)
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.translate(text, BLANKS, "")
     key_id = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
-    digest = F.sha2(bare.cast("binary"), 256)
-    try:
-        located = docs.withColumn("__docloom_at", F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")))
-        located.schema  # noqa: B018  analysed here: rows that are not read from files have no locator but their id
-    except Exception as e:
-        if "_metadata" not in str(e):
-            raise
-        located = docs.withColumn("__docloom_at", F.col(id_col).cast("string"))
-    rows = cut(located.select(F.col(id_col).alias("doc_id"), key_id.alias("key_id"), F.length(text).cast("long").alias("n_points"), digest.alias("digest"), F.col("__docloom_at").alias("locator")), f"{home}/rows")
+    rows = located.select(F.col(id_col).alias("doc_id"), key_id.alias("key_id"), F.length(text).cast("long").alias("n_points"), _digest(bare).alias("digest"), F.col(_AT).alias("locator"))
+    rows = cut(rows, f"{home}/rows")
     if rows.isEmpty():
-        return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
+        return located, rows.select("doc_id", "key_id", "digest", "locator", F.col("key_id").alias("keep_id"), F.col("locator").alias("keep_locator"), F.lit(0).cast("long").alias("group_size")), home
     state = _state(rows, home, files_per_batch)
+    names = ["doc_id", "key_id", "digest", "locator", "keep_id", "keep_locator", "group_size"]
+    found = cut(rows.join(state.withColumnRenamed("n", "group_size"), "digest").select("n_points", *names), f"{home}/found")
 
     # whole-text check of every hit: a copy of the entry's text per SALT_ROWS rows that it is held against
-    groups = state.filter("n > 1").withColumn("salts", F.expr(f"n div {SALT_ROWS} + 1"))
-    narrow = groups.select("digest", "salts", "keep_id")
-    held = docs.select(key_id.alias("key_id"), bare.alias("bare"), digest.alias("digest"))
-    hits = only_keys(held, groups.select("digest"), ["digest"]).join(narrow, "digest").withColumn("salt", F.pmod(F.xxhash64("key_id"), F.col("salts")))
-    entry = hits.filter("key_id = keep_id").groupBy("digest").agg(F.max("bare").alias("entry"), F.first("salts").alias("salts"))
-    entry = entry.select("digest", "entry", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    members = found.filter("group_size > 1").select("locator", "digest", (F.col("locator") == F.col("keep_locator")).alias("is_entry"), F.expr(f"group_size div {SALT_ROWS} + 1").alias("salts"))
+    texts = only_keys(located.select(F.col(_AT).alias("locator"), F.col(text_col).alias("text")), members, ["locator"])
+    contents = texts.join(members, "locator").select("locator", "digest", "is_entry", "salts", F.translate(F.coalesce("text", F.lit("")), BLANKS, "").alias("bare"))
+    contents = cut(contents, f"{home}/contents")
+    entry = contents.filter("is_entry").select("digest", F.col("bare").alias("entry"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    hits = contents.filter("NOT is_entry").select("digest", "bare", F.pmod(F.xxhash64("locator"), F.col("salts")).alias("salt"))
     differ = hits.join(entry, ["digest", "salt"]).filter(F.col("bare") != F.col("entry")).select("digest").distinct()
     differ = cut(differ, f"{home}/differ")
-    plain = rows.join(state.select("digest", "keep_id", F.col("n").alias("group_size")), "digest")
-    if not differ.isEmpty():
-        again = docs.select(F.col(id_col).alias("doc_id"), key_id.alias("key_id"), F.length(text).cast("long").alias("n_points"), bare.alias("bare"), digest.alias("digest")).join(differ, "digest", "left_semi")
-        best = again.groupBy("digest", "bare").agg(F.max(F.struct("n_points", F.negative("key_id").alias("neg_id"))).alias("best"), F.count("*").alias("group_size"))
-        best = best.select("digest", "bare", F.negative("best.neg_id").alias("keep_id"), "group_size")
-        again = again.join(best, ["digest", "bare"]).select("doc_id", "key_id", "digest", "keep_id", "group_size")
-        plain = plain.join(differ, "digest", "left_anti").select("doc_id", "key_id", "digest", "keep_id", "group_size").unionByName(again)
+    if not differ.isEmpty():  # a digest of several texts: its rows are grouped by the text
+        again = contents.join(differ, "digest", "left_semi").select("locator", "bare").join(found.select("doc_id", "key_id", "n_points", "digest", "locator"), "locator")
+        best = again.groupBy("digest", "bare").agg(F.max(F.struct("n_points", F.negative("key_id").alias("neg_id"), "locator")).alias("best"), F.count("*").alias("group_size"))
+        best = best.select("digest", "bare", F.negative("best.neg_id").alias("keep_id"), F.col("best.locator").alias("keep_locator"), "group_size")
+        again = again.join(best, ["digest", "bare"]).select(*names)
+        found = cut(found.select(*names).join(differ, "digest", "left_anti").unionByName(again), f"{home}/regrouped")
+    discard(docs.sparkSession, f"{home}/contents", f"{home}/state")
+    return located, found.select(*names), home
+
+
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 1000) -> DataFrame:
+    """Rows (doc_id, keep_id, group_size, kept, text_sha256), one per document."""
+    _, found, _ = _grouped(docs, id_col, text_col, files_per_batch)
     keep = F.when(F.col("keep_id") != _NULL_ID, F.col("keep_id"))
-    return plain.select("doc_id", keep.alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("key_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return found.select("doc_id", keep.alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("key_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 1000) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; its columns and rows are otherwise as they were.
 
-    Of repeated rows (same id and text) one stays.
+    Of repeated rows (same id and text) the one stays whose locator the state holds.
     """
-    mark = "__docloom_digest"
-    found = cut(exact_dedup(docs, id_col=id_col, text_col=text_col), f"{work_dir(docs.sparkSession, 'kept')}/rows")
-    rows = docs.withColumn(mark, F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANKS, "").cast("binary"), 256))
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias(mark))
-    rows = without_keys(rows, gone, [id_col, mark])
-    if not found.filter("kept").groupBy("text_sha256").count().filter("count > 1").isEmpty():
-        rank = F.row_number().over(Window.partitionBy(mark).orderBy(F.length(text_col).desc_nulls_last(), F.col(text_col)))
-        rows = rows.withColumn("__docloom_rank", rank).filter("__docloom_rank = 1").drop("__docloom_rank")
-    return rows.drop(mark)
+    located, found, _ = _grouped(docs, id_col, text_col, files_per_batch)
+    gone = found.filter("locator <> keep_locator").select(F.col("locator").alias(_AT))
+    return without_keys(located, gone, [_AT]).drop(_AT)

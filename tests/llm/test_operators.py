@@ -79,6 +79,29 @@ def test_exact_dedup_of_odd_input(odd_docs, no_docs):
     assert exact_dedup.exact_dedup(no_docs).count() == 0
 
 
+def test_texts_of_one_digest_are_told_apart_by_their_bytes(spark, docs, texts, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "_digest", lambda bare: F.sha2(F.substring(bare, 1, 1).cast("binary"), 256))
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 3)
+    want = plain_groups(texts.items())
+    rows = exact_dedup.exact_dedup(docs).collect()
+    assert len({r.text_sha256 for r in rows}) < len(want) / 2
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in rows} == {d: want[BLANK.sub("", t)] for d, t in texts.items()}
+    assert {r.doc_id for r in exact_dedup.drop_exact_copies(docs).collect()} == {d for d, _ in want.values()}
+
+
+def test_contents_are_found_by_their_locators(spark, docs, texts, tmp_path):
+    """Other columns, ids included, do not tell which row a text is: ids are all null or equal."""
+    for same in (None, 7):
+        frame = spark.createDataFrame([(same, t, k) for k, t in texts.items()], "doc_id long, text string, n long").repartition(3)
+        frame.write.mode("overwrite").parquet(f"{tmp_path}/same")
+        for source in (frame, spark.read.parquet(f"{tmp_path}/same")):
+            kept = [r.text for r in exact_dedup.drop_exact_copies(source).collect()]
+            assert sorted(BLANK.sub("", t) for t in kept) == sorted(plain_groups(texts.items()))
+    assert "docs" not in str(exact_dedup._located(spark.read.parquet(f"{tmp_path}/same").filter("n > 3"), str(tmp_path)).inputFiles())
+
+
 # 4 packing
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
