@@ -25,6 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import give_back
 from ._grams import classes
 from ._text import mix
 
@@ -37,6 +38,8 @@ ROUNDS, SETTLED = 30, 1e-3
 #: Words that a language's share must explain, per logarithm of the text's words, to be in the set.
 PENALTY = 2.0
 UND = "und"
+#: Characters whose figures under all languages are held at a time.
+BLOCK_CHARS = 1 << 16
 #: Counters that a task holds at once; beyond, they are handed on and begun anew.
 HELD_LANGUAGES = 64
 
@@ -149,7 +152,13 @@ def word_likelihoods(text: str, table: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros((0, table.shape[1]))
     lettered = np.add.reduceat((kinds >= 4).astype(np.int32), starts) > 0
-    sums = np.add.reduceat(table[trigrams(kinds)], starts, axis=0, dtype=np.float32)
+    codes = trigrams(kinds)
+    sums, at = np.empty((len(starts), table.shape[1]), np.float32), 0
+    while at < len(starts):  # whole words of about BLOCK_CHARS characters at a time
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK_CHARS)))
+        end = starts[to] if to < len(starts) else len(codes)
+        sums[at:to] = np.add.reduceat(table[codes[starts[at] : end]], starts[at:to] - starts[at], axis=0, dtype=np.float32)
+        at = to
     return sums[lettered].astype(np.float64)
 
 
@@ -200,5 +209,7 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     share, chosen = mixture(words)
                     stays[-1] = bool(share[chosen[0]] >= LEAST_SHARE)
             yield batch.filter(pa.array(stays, pa.bool_()))
+            del batch
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)
