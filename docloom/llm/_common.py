@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +16,31 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 
 
+#: Bytes of an Arrow batch that a Python worker gets (a longer row is a batch of its own).
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_BYTES``: the engine's rows hold whole texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """What an iterator gives; at its end the memory that it freed is handed back."""
+    yield from batches
+    give_back()
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
     The setting is only filled in where the session has none and all tasks run in the driver's process,
     as in tests on one machine; a cluster without it is refused, as executors could not see the folder.
     """
+    bounded_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.split("[")[0] == "local":
@@ -43,6 +64,19 @@ def discard(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Plan nodes under which a row still is one row of one file.
+_ROWWISE = {"Project", "Filter", "Relation", "SubqueryAlias"}
+
+
+def with_locator(docs: DataFrame, path: str, name: str) -> DataFrame:
+    """``docs`` with each row's place, file and row, as column ``name``; rows not straight from Parquet files are written to ``path`` first."""
+    plan = docs._jdf.queryExecution().analyzed().toString()
+    nodes = {m[1] for m in re.finditer(r"^[\s:+|-]*'?(\w+)", plan, re.M)}
+    if not (nodes <= _ROWWISE and re.search(r"Relation\b.* parquet\s*$", plan)):
+        docs = cut(docs, path)
+    return docs.withColumn(name, F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")))
+
+
 #: Buckets of a key filter: the broadcast holds at most so many longs (8 MB), however large the input.
 FILTER_BUCKETS = 1 << 20
 

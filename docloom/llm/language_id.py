@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import give_back
+from ._common import bounded_batches, trimmed
 from ._grams import classes
 from ._text import mix
 
@@ -103,8 +103,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and the log probabilities of trigrams (a row each), from all rows with text and language."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    counts = rows.mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(lambda it: trimmed(_count(it)), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.full((SIZE, len(langs)), SMOOTHING)
     table[counts["code"].to_numpy(), np.searchsorted(langs, counts["lang"].to_numpy())] += counts["n"].to_numpy()
@@ -187,7 +188,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: st
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(id_col), F.lit(True)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: _predict(it, sent), f"doc_id {kind}, held_out boolean, lang_pred string, score double, lang_set array<string>")
+    return rows.mapInArrow(lambda it: trimmed(_predict(it, sent)), f"doc_id {kind}, held_out boolean, lang_pred string, score double, lang_set array<string>")
 
 
 #: A document whose first language has a smaller share than this is rejected by ``keep_identified``.
@@ -210,6 +211,5 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     stays[-1] = bool(share[chosen[0]] >= LEAST_SHARE)
             yield batch.filter(pa.array(stays, pa.bool_()))
             del batch
-        give_back()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lambda it: trimmed(keep(it)), docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bpe import BlockEncoder
-from ._common import blocks, cut, work_dir
+from ._common import blocks, bounded_batches, cut, trimmed, work_dir
 
 CAPACITY = 2048
 BLOCK_PIECES = 16_384
@@ -75,9 +75,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_id
 
 def tokenise(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(lambda it: _pieces(it, tokenizer_path, capacity, with_ids), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return rows.mapInArrow(lambda it: trimmed(_pieces(it, tokenizer_path, capacity, with_ids)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 class _Room:

@@ -5,10 +5,9 @@ character, so a segment (marks and what follows up to the next mark) is encoded
 holds the possible merges of neighbouring symbols; the best scored, leftmost one is done first. A
 candidate is skipped for good if the keyed hash of (seed, document, the segment's number, places of
 both symbols, merged piece) falls below the dropout rate, so every occurrence of a word draws its own
-merges, and any run with the same seed gives the same ids. What a segment can merge at all is found
-once per worker; each occurrence draws for all of that, and segments with the same draws, which have
-the same ids, are encoded once. Segments are encoded many at a time by array operations; segments of
-more than ``SHORT`` characters each by themselves, long ones through a heap.
+merges, and any run with the same seed gives the same ids. Segments are encoded many at a time by array
+operations, a step doing the next merge of each of them; long ones go one by one through a heap.
+Without dropout a segment's ids depend on its content only and are remembered.
 
 Characters without a piece become byte pieces. A word mark that stands in the text itself is written
 in bytes too, so decoding gives back every text exactly.
@@ -29,20 +28,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks
+from ._common import blocks, bounded_batches, trimmed
 from ._table import IdTable
 from ._text import mix, powers
 
 MARK = "▁"
 #: Rate at which merges are skipped.
 DROPOUT = 0.1
-#: Encodings, and segments with their possible merges, that a worker keeps.
-REMEMBERED, LISTED = 1_000_000, 200_000
-#: Segments of more characters go through the heap, and those whose possible merges are not listed.
-LONG, SHORT = 48, 15
+#: Encodings without dropout that a worker keeps.
+REMEMBERED = 1_000_000
+#: Segments of more characters go through the heap.
+LONG = 48
+#: Segments that are merged at a time.
+TOGETHER = 16_384
 #: Stands for a word mark of the text itself.
 _OWN_MARK = 0x110000
-_NONE = np.int64(1 << 40)
+_NONE = np.int32((1 << 31) - 1)
+
+
+class PairTable:
+    """Merged pieces by pair of symbols: an open hash table that is searched for many pairs at once."""
+
+    def __init__(self, lefts: np.ndarray, rights: np.ndarray, merged: np.ndarray):
+        bits = max(10, int(len(lefts) * 8).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        key = lefts << 32 | rights
+        at, rest = self._place(key), np.arange(len(key))
+        while len(rest):
+            free = rest[self.keys[at[rest]] == -1]
+            _, first = np.unique(at[free], return_index=True)
+            now = free[first]
+            self.keys[at[now]], self.values[at[now]] = key[now], merged[now]
+            rest = rest[self.keys[at[rest]] != key[rest]]
+            at[rest] = at[rest] + 1 & self.mask
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merged pieces, -1 where there is none; a negative symbol is in no pair."""
+        key = left << 32 | right
+        at = self._place(key)
+        held = self.keys[at]
+        found = np.where(held == key, self.values[at], np.int32(-1))
+        rest = np.flatnonzero((held != key) & (held != -1) & (key >= 0))
+        while len(rest):
+            at[rest] = at[rest] + 1 & self.mask
+            held = self.keys[at[rest]]
+            found[rest] = np.where(held == key[rest], self.values[at[rest]], np.int32(-1))
+            rest = rest[(held != key[rest]) & (held != -1)]
+        return found
 
 
 class Model:
@@ -58,7 +94,7 @@ class Model:
         self.id_of = {pieces[i]: i for i in plain}
         #: Order of merging: 0 is done first. Equal scores share a rank.
         scores = np.array([sp.get_score(i) for i in plain])
-        self.rank = np.full(self.size, _NONE)
+        self.rank = np.full(self.size + 1, _NONE, np.int32)  # the last stands for no piece
         self.rank[plain] = np.unique(-scores, return_inverse=True)[1]
         self.byte_ids = np.array([self.id_of_byte(sp, b) for b in range(256)], np.uint32)
         lefts, rights, merged = [], [], []
@@ -73,9 +109,7 @@ class Model:
                     rights.append(symbol[p[k:]])
                     merged.append(i)
         self.symbol_of_char = {ord(c): i for c, i in symbol.items() if len(c) == 1}
-        pair = np.array(lefts, np.int64) << 32 | np.array(rights, np.int64)
-        order = np.argsort(pair)
-        self.pairs, self.merged = pair[order], np.array(merged, np.int64)[order]
+        self.look = PairTable(np.array(lefts, np.int64), np.array(rights, np.int64), np.array(merged, np.int32)).look
         spelled = [pieces[i].replace(MARK, " ").encode() for i in range(self.size)]
         for b, i in enumerate(self.byte_ids.tolist()):
             spelled[i] = bytes([b])
@@ -90,12 +124,6 @@ class Model:
     def id_of_byte(sp, b: int) -> int:
         return sp.piece_to_id(f"<0x{b:02X}>")
 
-    def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Merged pieces of pairs of symbols, -1 where there is none."""
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.merged[at], -1)
-
     def symbols(self, points: np.ndarray) -> np.ndarray:
         """Symbol per code point; characters of no piece are negative."""
         wide, which = np.unique(points, return_inverse=True)
@@ -112,68 +140,51 @@ def _skip(key, candidate, rate: float):
     return mix(key + candidate) < np.uint64(int(rate * (2**64 - 1)))
 
 
-def possible_merges(model: Model, table: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All merges that any draw can bring up, packed (places 4 bits each, piece 24), by segment; how many each has."""
-    n, width = table.shape
-    spans = {(i, i + 1): np.where(i < sizes, table[:, i], -1) for i in range(width)}
-    found = []
-    for length in range(2, width + 1):
-        for i in range(width - length + 1):
-            j = i + length
-            whole = np.full(n, -1, np.int64)
-            for k in range(i + 1, j):
-                rows = np.flatnonzero((spans[i, k] >= 0) & (spans[k, j] >= 0))
-                merged = model.look(spans[i, k][rows], spans[k, j][rows])
-                rows, merged = rows[merged >= 0], merged[merged >= 0]
-                whole[rows] = merged
-                found.append((rows, i << 28 | k << 24 | merged))
-            spans[i, j] = whole
-    rows = np.concatenate([r for r, _ in found] or [np.zeros(0, np.int64)])
-    order = np.argsort(rows, kind="stable")
-    packed = np.concatenate([p for _, p in found] or [np.zeros(0, np.int64)])[order]
-    return packed.astype(np.uint32), np.bincount(rows, minlength=n)
-
-
-def merge_many(model: Model, table: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of segments after merging. ``table``: symbols by segment, padded; returns it and the new sizes."""
-    n, width = table.shape
-    symbols, place = table.copy(), np.tile(np.arange(width, dtype=np.int64), (n, 1))
-    sizes = sizes.copy()
-    if width < 2:
-        return symbols, sizes
-    column = np.arange(width - 1)
-
-    def candidate(rows, left, right, at_left, at_right, there):
-        merged = model.look(left, right)
-        ok = there & (merged >= 0)
+def merge_many(model: Model, table: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Segments after merging. ``table``: symbols by segment, padded with -1; returns it and which places are left.
+
+    Symbols stay where they are; links lead from each to its neighbours. Each step does the best candidate
+    of every segment that has one, which makes at most two new candidates. A border that nothing merges
+    with stands before and after each segment.
+    """
+    n, wide = table.shape[0], table.shape[1] + 2
+    symbols = np.full((n, wide), -1, np.int64)
+    symbols[:, 1:-1] = table
+    merged, rank = np.full((n, wide), -1, np.int32), np.full((n, wide), _NONE, np.int32)
+    ahead = np.tile(np.arange(1, wide + 1, dtype=np.int32), (n, 1)).ravel()
+    back = np.tile(np.arange(-1, wide - 1, dtype=np.int32), (n, 1)).ravel()
+    left_there = np.ones(n * wide, bool)
+    flat, merged_flat, rank_flat = symbols.ravel(), merged.ravel(), rank.ravel()
+
+    def candidates(row, at, to):
+        """Enter the merge of the symbols at places ``at`` and ``to`` of the rows, unless it is skipped."""
+        base = row * wide
+        found = model.look(flat[base + at], flat[base + to])
         if rate:
-            ok &= ~_skip(keys[rows], _candidate(at_left, at_right, np.maximum(merged, 0)), rate)
-        return np.where(ok, merged, -1)
-
-    rows = np.arange(n)
-    merged = candidate(np.broadcast_to(rows[:, None], (n, width - 1)), symbols[:, :-1], symbols[:, 1:], place[:, :-1], place[:, 1:], column[None, :] < (sizes - 1)[:, None])
-    live = rows
+            some = np.flatnonzero(found >= 0)
+            skipped = _skip(keys[row[some]], _candidate(at[some] - 1, to[some] - 1, found[some]), rate)
+            found[some[skipped]] = -1
+        merged_flat[base + at] = found
+        rank_flat[base + at] = model.rank[found]
+
+    row, at = (x.ravel() for x in np.broadcast_arrays(np.arange(n)[:, None], np.arange(1, wide - 2)[None, :]))
+    candidates(row, at, at + 1)
+    live = np.arange(n)
     while len(live):
-        rank = np.where(merged[live] >= 0, model.rank[np.maximum(merged[live], 0)], _NONE)
-        j = rank.argmin(1)
-        some = rank[np.arange(len(live)), j] < _NONE
-        live, j = live[some], j[some]
-        if not len(live):
-            break
-        symbols[live, j] = merged[live, j]
-        source = np.minimum(np.arange(width)[None, :] + (np.arange(width)[None, :] > j[:, None]), width - 1)
-        symbols[live] = np.take_along_axis(symbols[live], source, 1)
-        place[live] = np.take_along_axis(place[live], source, 1)
-        shift = np.minimum(column[None, :] + (column[None, :] > j[:, None]), width - 2)
-        merged[live] = np.take_along_axis(merged[live], shift, 1)
-        sizes[live] -= 1
-        for k in (j - 1, j):
-            inside = (k >= 0) & (k < sizes[live] - 1)
-            r, c = live[inside], k[inside]
-            merged[r, c] = candidate(r, symbols[r, c], symbols[r, c + 1], place[r, c], place[r, c + 1], np.ones(len(r), bool))
-        beyond = column[None, :] >= (sizes[live] - 1)[:, None]
-        merged[live] = np.where(beyond, -1, merged[live])
-    return symbols, sizes
+        now = rank[live]
+        at = now.argmin(1)
+        some = now[np.arange(len(live)), at] != _NONE
+        live, at = live[some], at[some]
+        base = live * wide
+        gone = ahead[base + at]
+        after = ahead[base + gone]
+        flat[base + at] = merged_flat[base + at]
+        left_there[base + gone] = False
+        rank_flat[base + gone] = _NONE
+        ahead[base + at], back[base + after] = after, at
+        before = back[base + at]
+        candidates(np.concatenate([live, live]), np.concatenate([before, at]), np.concatenate([at, after]))
+    return symbols[:, 1:-1], left_there.reshape(n, wide)[:, 1:-1]
 
 
 def merge_long(model: Model, symbols: np.ndarray, key: np.uint64, rate: float) -> list[int]:
@@ -210,7 +221,7 @@ def merge_long(model: Model, symbols: np.ndarray, key: np.uint64, rate: float) -
 class Encoder:
     def __init__(self, path: str, seed: int = 0, rate: float = DROPOUT):
         self.model, self.seed, self.rate = Model(path), seed, rate
-        self.table, self.merges = IdTable(REMEMBERED), IdTable(LISTED)
+        self.table = IdTable(REMEMBERED)
 
     def encode(self, texts: list[str], docs: list[int]) -> list[np.ndarray]:
         """Ids of each text; ``docs``: the documents' keys."""
@@ -233,75 +244,45 @@ class Encoder:
         number = np.arange(len(starts)) - np.searchsorted(starts, edges[owner])
         salt = np.array([int.from_bytes(hashlib.blake2b(b"%d/%d" % (self.seed, d or 0), digest_size=8).digest(), "big") for d in docs], np.uint64)
         own = mix(salt[owner] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        if self.rate:
+            ids, counts = self._merged(own, points, starts, ends)
+            to = np.concatenate([[0], np.cumsum(counts)])
+        else:
+            ids, to = self._known(own, points, starts, ends)
+        cut = to[np.searchsorted(starts, edges)]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+    def _known(self, own: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments, and where each begins, by content."""
         up, down = powers(len(points))
         prefix = np.zeros(len(points) + 1, np.uint64)
         np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=prefix[1:])
         content = mix((prefix[ends] - prefix[starts]) * down[starts])
-        keys = self._draws(content, own, points, starts, ends) if self.rate else content
-        unique, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        unique, at, which = np.unique(content, return_index=True, return_inverse=True)
         fresh = self.table.missing(unique)
         if len(fresh):
             at = at[fresh]
-            self._learn(unique[fresh], own[at], points, starts[at], ends[at])
-        ids, to = self.table.spell(unique, which)
-        cut = to[np.searchsorted(starts, edges)]
-        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-
-    def _draws(self, content: np.ndarray, own: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A key per segment of its content and the merges that its draw skips; of long ones, of the occurrence."""
-        out = mix(content + own)
-        short = np.flatnonzero(ends - starts <= SHORT)
-        if not len(short):
-            return out
-        unique, at, which = np.unique(content[short], return_index=True, return_inverse=True)
-        fresh = self.merges.missing(unique)
-        if len(fresh):
-            self._list(unique[fresh], points, starts[short[at[fresh]]], ends[short[at[fresh]]])
-        packed, to = self.merges.spell(unique, which)
-        packed = packed.astype(np.int64)
-        candidate = _candidate(packed >> 28, packed >> 24 & 15, packed & 0xFFFFFF)
-        hit = np.flatnonzero(_skip(np.repeat(own[short], np.diff(to)), candidate, self.rate))
-        total = np.zeros(len(hit) + 1, np.uint64)
-        np.cumsum(mix(candidate[hit] + np.uint64(1)), out=total[1:])
-        edge = np.searchsorted(hit, to)
-        out[short] = mix(content[short] + (total[edge[1:]] - total[edge[:-1]]))
-        return out
-
-    def _list(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        symbols, sizes = self.model.symbols(points), ends - starts
-        rows_, flats, counts_ = [], [], []
-        low = 0
-        for width in (4, 6, 8, 10, 12, SHORT):
-            rows = np.flatnonzero((sizes > low) & (sizes <= width))
-            low = width
-            if len(rows):
-                at = starts[rows][:, None] + np.arange(width)
-                flat, counts = possible_merges(self.model, symbols[np.minimum(at, len(symbols) - 1)], sizes[rows])
-                rows_.append(rows)
-                flats.append(flat)
-                counts_.append(counts)
-        rows, flat, counts = np.concatenate(rows_), np.concatenate(flats), np.concatenate(counts_)
-        order = np.argsort(rows)
-        begin, counts = (np.cumsum(counts) - counts)[order], counts[order]
-        to = np.cumsum(counts)
-        self.merges.learn(keys, flat[np.repeat(begin - (to - counts), counts) + np.arange(to[-1])], counts)
+            self.table.learn(unique[fresh], *self._merged(own[at], points, starts[at], ends[at]))
+        return self.table.spell(unique, which)
 
-    def _learn(self, keys: np.ndarray, own: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _merged(self, own: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments one after the other, and how many each has."""
         symbols, sizes = self.model.symbols(points), ends - starts
         rows_, flats, counts_ = [], [], []
         low = 0
-        for width in (6, 8, 10, 12, 16, 24, 32, LONG):
+        for width in (*range(2, 17), 20, 24, 32, LONG):
             some = np.flatnonzero((sizes > low) & (sizes <= width))
             low = width
-            for k in range(0, len(some), 20_000):
-                rows = some[k : k + 20_000]
+            for k in range(0, len(some), TOGETHER):
+                rows = some[k : k + TOGETHER]
                 at = starts[rows][:, None] + np.arange(width)
                 inside = np.arange(width) < sizes[rows][:, None]
                 table = np.where(inside, symbols[np.minimum(at, len(symbols) - 1)], -1)
-                done, count = merge_many(self.model, table, sizes[rows], own[rows], self.rate)
+                done, left = merge_many(self.model, table, own[rows], self.rate)
+                left &= inside
                 rows_.append(rows)
-                flats.append(done[np.arange(width) < count[:, None]])
-                counts_.append(count)
+                flats.append(done[left])
+                counts_.append(left.sum(1))
         for i in np.flatnonzero(sizes > LONG).tolist():
             one = merge_long(self.model, symbols[starts[i] : ends[i]], own[i], self.rate)
             rows_.append([i])
@@ -315,7 +296,7 @@ class Encoder:
         order = np.argsort(rows)
         begin, counts = begin[order], counts[order]
         shift = begin - (np.cumsum(counts) - counts)
-        self.table.learn(keys, ids[np.repeat(shift, counts) + np.arange(len(ids))], counts)
+        return ids[np.repeat(shift, counts) + np.arange(len(ids))], counts
 
     def _spell(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of symbols, and how many each has."""
@@ -377,7 +358,8 @@ def _encode(batches: Iterator[pa.RecordBatch], settings: tuple, with_ids: bool)
 
 def encode(docs: DataFrame, model_path: str, *, seed: int = 0, rate: float = DROPOUT, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_crc32, decoded_sha256, lossless[, ids]), one per document."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(id_col), F.lit(0)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     settings = (model_path, seed, rate)
-    return rows.mapInArrow(lambda it: _encode(it, settings, with_ids), f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean" + ", ids array<long>" * with_ids)
+    return rows.mapInArrow(lambda it: trimmed(_encode(it, settings, with_ids)), f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean" + ", ids array<long>" * with_ids)
