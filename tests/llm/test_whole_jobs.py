@@ -1,12 +1,15 @@
 """Operators held to the whole of their job: what a cut in the method would miss."""
 
 import collections
+import hashlib
 import random
+import re
+import zlib
 
 import numpy as np
+import pytest
 
-from docloom.llm import jaccard_join, language_id, quality, spm
-from docloom.llm._text import mix
+from docloom.llm import jaccard_join, language_id, quality, queries, spm
 from docloom.llm.queries import tokenizer_path
 
 
@@ -39,6 +42,67 @@ def test_bands_reject_labelled_junk_in_every_language(spark):
         assert rejected[lang, 0] >= 0.3 * asked[lang, 0] and rejected[lang, 1] <= 0.04 * asked[lang, 1]
 
 
+def plain_perplexity(texts):
+    """Modified Kneser-Ney of order 5 as the docstring of the operator states it, with dictionaries."""
+    grams = lambda t: [tuple(t[i : i + 5]) for i in range(len(t) - 4)]
+    symbols = {k: [0] * 4 + quality.symbols(t).tolist() for k, t in texts.items()}
+    tables = {5: collections.Counter(g for t in symbols.values() for g in grams(t))}
+    for order in (4, 3, 2, 1):
+        tables[order] = collections.Counter(g[1:] for g in tables[order + 1])
+    below = None
+    for order in (1, 2, 3, 4, 5):
+        table = tables[order]
+        n1, n2, n3, n4 = (sum(n == k for n in table.values()) for k in (1, 2, 3, 4))
+        d = [0.5, 1.0, 1.5]
+        if n1 and n2 and n3 and n4:
+            y = n1 / (n1 + 2 * n2)
+            d = [min(0.95 * k, max(0.05 * k, x)) for k, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), 1)]
+        total, left = collections.Counter(), collections.Counter()
+        for g, n in table.items():
+            total[g[:-1]] += n
+            left[g[:-1]] += d[min(n, 3) - 1]
+        below = {g: (n - d[min(n, 3) - 1] + left[g[:-1]] * (below[g[1:]] if below else 1 / len(table))) / total[g[:-1]] for g, n in table.items()}
+    return {k: -np.mean([np.log(below[g]) for g in grams(t)]) for k, t in symbols.items() if len(t) > 4}
+
+
+@pytest.mark.parametrize("size", [1 << 21, 30_000])
+def test_perplexity_and_verdict_are_those_of_a_plain_version(spark, docs, monkeypatch, size):
+    monkeypatch.setattr(quality, "SLICE", size)
+    held = {r.doc_id: r for r in docs.collect()}
+    got = {r.doc_id: r for r in queries.op6_quality_rules(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(held)
+    for lang in {r.lang for r in held.values()}:
+        mine = plain_perplexity({k: r.text or "" for k, r in held.items() if r.lang == lang})
+        q1, q3 = (sorted(mine.values())[max(0, int(np.ceil(len(mine) * q)) - 1)] for q in (0.25, 0.75))
+        low, high = q1 - quality.SPREADS[0] * max(0.01, q3 - q1), q3 + quality.SPREADS[1] * max(0.01, q3 - q1)
+        for k, cost in mine.items():
+            assert abs(np.log(got[k].perplexity) - cost) < 1e-4
+            if min(abs(cost - low), abs(cost - high)) > 1e-3:
+                assert got[k].kept == (not got[k].base_failed and low <= cost <= high)
+
+
+def test_scripts_have_models_of_their_own_letters(spark):
+    """Russian, Greek, Hindi, Chinese: a text of another text's letters in random order stands out."""
+    random.seed(4)
+    alphabets = {"ru": "абвгдежзик", "el": "αβγδεζηθικ", "hi": "कखगघिीुूेै", "zh": "天地玄黄宇宙洪荒日月"}
+    rows, odd = [], {}
+    for lang, letters in alphabets.items():
+        words = ["".join(random.choice(letters) for _ in range(k % 4 + 3)) for k in range(30)]
+        rows += [(len(rows) + k, " ".join(random.choice(words) for _ in range(60)), lang) for k in range(40)]
+        odd[len(rows)] = lang
+        rows.append((len(rows), " ".join("".join(random.choice(letters) for _ in range(k % 4 + 3)) for k in range(60)), lang))
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[k].kept for k in odd) and all(got[k].kept for k in got if k not in odd)
+
+
+def test_long_texts_are_counted_in_stretches(monkeypatch):
+    texts = ["", "ab", "x" * 7, "long text " * 500, "é"]
+    whole = [x for codes, owner in quality.stretches(texts) for x in zip(codes.tolist(), owner.tolist())]
+    monkeypatch.setattr(quality, "STRETCH", 11)
+    assert [x for codes, owner in quality.stretches(texts) for x in zip(codes.tolist(), owner.tolist())] == whole
+    assert collections.Counter(o for _, o in whole) == {i: len(t) for i, t in enumerate(texts) if t}
+
+
 # 8 SentencePiece
 def test_every_occurrence_draws_its_own_merges():
     path = tokenizer_path("piece_bpe_32k.model")
@@ -49,16 +113,52 @@ def test_every_occurrence_draws_its_own_merges():
     assert len(cuts) > 20
 
 
-def test_remembered_draws_are_those_of_each_occurrence():
-    path, words = tokenizer_path("piece_bpe_32k.model"), ["reading", "a", "blue", "été123", "international", "internationalisation", "aaaaaaaa"] * 60
-    encoder = spm.Encoder(path, 3, 0.2)
-    salt = np.uint64(int.from_bytes(spm.hashlib.blake2b(b"3/9", digest_size=8).digest(), "big"))
-    want = []
-    for k, word in enumerate(words):
-        symbols = encoder.model.symbols(np.array([ord(c) for c in "▁" + word], np.uint32))
-        own = mix(np.array([salt]) + np.array([k], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
-        want += encoder._spell(np.array(spm.merge_long(encoder.model, symbols, own, 0.2), np.int64))[0].tolist()
-    assert encoder.encode([" ".join(words)], [9])[0].tolist() == want
+def plain_pieces(pieces, scores, byte_ids, text, seed, key):
+    """Merge-dropout as the docstring states it: one segment, one merge at a time."""
+    bits = (1 << 64) - 1
+
+    def mixed(h):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * factor & bits
+        return h ^ h >> 31
+
+    odd, golden = "\U0010ffff", 0x9E3779B97F4A7C15
+    salt = int.from_bytes(hashlib.blake2b(b"%d/%d" % (seed, key), digest_size=8).digest(), "big")
+    ids = []
+    for number, segment in enumerate(re.findall("▁+[^▁]*", ("▁" + text.replace("▁", odd).replace(" ", "▁")) if text else "")):
+        own, drawn = mixed(salt + number * golden & bits), {}
+        parts = [(k, c) for k, c in enumerate(segment)]
+
+        def allowed(i, j, piece):
+            if (i, j, piece) not in drawn:
+                drawn[i, j, piece] = mixed(own + golden * ((i << 42) + (j << 20) + pieces[piece]) & bits) >= int(spm.DROPOUT * bits)
+            return drawn[i, j, piece]
+
+        while True:
+            can = [(-scores[x + y], k) for k, ((i, x), (j, y)) in enumerate(zip(parts, parts[1:])) if x + y in pieces and allowed(i, j, x + y)]
+            if not can:
+                break
+            k = min(can)[1]
+            parts[k : k + 2] = [(parts[k][0], parts[k][1] + parts[k + 1][1])]
+        for _, x in parts:
+            ids += [pieces[x]] if x in pieces else [byte_ids[b] for b in x.replace(odd, "▁").encode()]
+    return ids
+
+
+def test_every_text_is_cut_as_a_plain_version_cuts_it(spark, docs, texts):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    plain = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+    pieces = {sp.id_to_piece(i): i for i in plain}
+    scores = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
+    byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+    keys = {r.doc_id: r.k for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS k").collect()}
+    rows = queries.op8_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts) and all(r.lossless for r in rows)
+    for r in rows:
+        want = np.array(plain_pieces(pieces, scores, byte_ids, texts[r.doc_id], 1, keys[r.doc_id]), "<u4")
+        assert (r.n_tokens, r.ids_crc32) == (len(want), zlib.crc32(want.tobytes()))
 
 
 # 10 language
