@@ -22,12 +22,10 @@ stays; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, discard, only_keys, without_keys, work_dir
+from ._common import cut, discard, only_keys, with_locator, without_keys, work_dir
 
 #: Fixed set of characters that do not count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -71,8 +69,6 @@ def _state(rows: DataFrame, home: str, files_per_batch: int) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: Plan nodes under which a row still is one row of one file.
-_ROWWISE = {"Project", "Filter", "Relation", "SubqueryAlias"}
 _AT = "__docloom_at"
 
 
@@ -80,19 +76,10 @@ def _digest(bare: Column) -> Column:
     return F.sha2(bare.cast("binary"), 256)
 
 
-def _located(docs: DataFrame, home: str) -> DataFrame:
-    """``docs`` with the content locator of each row; rows that are not straight from Parquet files are written first."""
-    plan = docs._jdf.queryExecution().analyzed().toString()
-    nodes = {m[1] for m in re.finditer(r"^[\s:+|-]*'?(\w+)", plan, re.M)}
-    if not (nodes <= _ROWWISE and re.search(r"Relation\b.* parquet\s*$", plan)):
-        docs = cut(docs, f"{home}/docs")
-    return docs.withColumn(_AT, F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")))
-
-
 def _grouped(docs: DataFrame, id_col: str, text_col: str, files_per_batch: int) -> tuple[DataFrame, DataFrame, str]:
     """``docs`` with locators; per row (doc_id, key_id, digest, locator, keep_id, keep_locator, group_size); the work folder."""
     home = work_dir(docs.sparkSession, "exact")
-    located = _located(docs, home)
+    located = with_locator(docs, f"{home}/docs", _AT)
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.translate(text, BLANKS, "")
     key_id = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))

