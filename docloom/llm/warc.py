@@ -2,13 +2,15 @@
 
 Writer: each executor task writes its records to gzip archives (a member per record) of about
 ``archive_bytes`` through the file system that the target folder names; a file appears under its
-final name only when it is whole, and a repeated task writes the same names again. A payload is an
+final name, which holds the task's attempt, only when it is whole. The names that successful tasks return
+are written as a table beside the archives, which Spark commits once a task; a repeated, failed or late
+attempt may leave files, but none that this table names. A payload is an
 HTTP message in chunked transfer framing; a block longer than ``segment_bytes`` is cut into a first
 segment and continuation records. Of equal payloads of at least ``REVISIT_BYTES`` the one with the
 smallest id is a response, the others are revisits that name it and carry no payload.
 
-Reader: archives are read as binary files and parsed record by record. Records in one piece go
-straight on; segments are grouped by the record where they begin (its id), ordered by segment
+Reader: the archives that the table names (all of a folder without one) are read as binary files and
+parsed record by record. Records in one piece go straight on; segments are grouped by the record where they begin (its id), ordered by segment
 number, joined, and held against the total length that the last segment states; then the chunked
 framing is decoded. A missing or short segment fails the read rather than giving part of a payload.
 
@@ -30,11 +32,15 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import cut
+
 #: Equal payloads shorter than this are all responses.
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 8 << 20
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
+#: Table of the archives that successful tasks wrote; file sources pass over names that begin so.
+WRITTEN = "_written"
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -105,11 +111,11 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, archive_bytes: int, s
     def flush():
         nonlocal number, held, size
         if held:
-            own, final = f"{root}/_{part:06d}-{number:05d}-{attempt}.tmp", f"{root}/{part:06d}-{number:05d}.warc.gz"
+            own, final = f"{root}/_{part:06d}-{number:05d}-{attempt}.tmp", f"{root}/{part:06d}-{number:05d}-{attempt}.warc.gz"
             with files.open_output_stream(own, compression=None) as out:
                 out.write(b"".join(held))
             files.move(own, final)
-            wrote.append(final)
+            wrote.append(final.rpartition("/")[2])
             number, held, size = number + 1, [], 0
 
     for batch in batches:
@@ -127,7 +133,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, archive_bytes: int, s
 
 def write_archives(marked: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES, segment_bytes: int = SEGMENT_BYTES) -> int:
     """Write the rows of ``mark_revisits`` as archives below ``folder``; how many there are."""
-    return marked.mapInArrow(lambda it: _write(it, folder, archive_bytes, segment_bytes), "archive string").count()
+    made = marked.mapInArrow(lambda it: _write(it, folder, archive_bytes, segment_bytes), "archive string")
+    return cut(made, f"{folder.rstrip('/')}/{WRITTEN}").count()
 
 
 def _parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -181,14 +188,24 @@ def members(data: memoryview, step: int = 64 << 10) -> Iterator[bytes]:
         yield b"".join(out)
 
 
+def _whole(parts: list[dict], total: int | None) -> bytes:
+    """The block of one record, from its segments in order."""
+    block = b"".join(x["block"] for x in parts)
+    if total is None and parts[0]["segment"] is None:
+        return block
+    if len(block) != total or [x["segment"] for x in parts] != [*range(1, len(parts) + 1)]:
+        raise ValueError("segments are missing or do not add up to the stated length")
+    return block
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for kind, block, digest, size in zip(*[batch.column(c) for c in ("kind", "block", "payload_digest", "payload_bytes")], strict=True):
+        for kind, parts, total, digest, size in zip(*[batch.column(c) for c in ("kind", "parts", "total_length", "payload_digest", "payload_bytes")], strict=True):
             if kind.as_py() == "revisit":
                 out.append(None)
                 continue
-            head, _, body = block.as_py().partition(b"\r\n\r\n")
+            head, _, body = _whole(parts.as_py(), total.as_py()).partition(b"\r\n\r\n")
             payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
             if len(payload) != size.as_py() or hashlib.sha256(payload).hexdigest() != digest.as_py():
                 raise ValueError("a payload is not what its record says")
@@ -200,18 +217,31 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PAYLOADS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
+def _named(spark: SparkSession, folder: str) -> list[str] | None:
+    """Paths of the archives that the table of ``folder`` names; None without such a table."""
+    table = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{WRITTEN}")
+    if not table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(table):
+        return None
+    return [f"{folder}/{r.archive}" for r in spark.read.schema("archive string").parquet(f"{folder}/{WRITTEN}").collect()]
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per page: what its records hold, segments joined and chunks decoded."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content").mapInArrow(_read, RECORDS)
-    one = found.filter("segment IS NULL")
+    """One row per page: what its records hold, segments joined and chunks decoded.
+
+    The driver holds the archives' paths, as it does for any file source.
+    """
+    folder = folder.rstrip("/")
+    paths = _named(spark, folder)
+    if paths == []:
+        return spark.createDataFrame([], PAYLOADS)
+    source = spark.read.format("binaryFile")
+    files = source.option("pathGlobFilter", "*.warc.gz").load(folder) if paths is None else source.load(paths)
+    found = files.select("content").mapInArrow(_read, RECORDS)
+    part = F.struct("segment", "block")
+    names = ["kind", "url", "payload_digest", "payload_bytes", "page_id", "refers_to", "total_length", "parts"]
+    one = found.filter("segment IS NULL").withColumn("parts", F.array(part)).select(*names)
     cuts = found.filter("segment IS NOT NULL").groupBy("origin_id").agg(
-        F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
-        F.max("total_length").alias("total_length"),
-        *[F.max(c).alias(c) for c in ("url", "payload_digest", "payload_bytes", "page_id", "refers_to")],
-    )
-    joined = F.aggregate("parts", F.lit(b""), lambda all_, x: F.concat(all_, x["block"]))
-    cuts = cuts.select(F.lit("response").alias("kind"), "url", "payload_digest", "payload_bytes", "page_id", "refers_to", joined.alias("block"), "total_length", F.transform("parts", lambda x: x["segment"]).alias("numbers"))
-    good = (F.octet_length("block") == F.col("total_length")) & (F.col("numbers") == F.sequence(F.lit(1), F.size("numbers")))
-    cuts = cuts.withColumn("block", F.when(good, F.col("block")).otherwise(F.raise_error(F.lit("segments are missing or do not add up to the stated length")).cast("binary")))
-    names = ["kind", "url", "payload_digest", "payload_bytes", "page_id", "refers_to", "block"]
-    return one.select(*names).unionByName(cuts.select(*names)).mapInArrow(_decode, PAYLOADS)
+        F.sort_array(F.collect_list(part)).alias("parts"), F.lit("response").alias("kind"),
+        *[F.max(c).alias(c) for c in ("total_length", "url", "payload_digest", "payload_bytes", "page_id", "refers_to")],
+    ).select(*names)
+    return one.unionByName(cuts).mapInArrow(_decode, PAYLOADS)

@@ -9,10 +9,51 @@ import zlib
 import numpy as np
 import pytest
 
-from docloom.llm import jaccard_join, language_id, packing, quality, queries, spm
+from docloom.llm import jaccard_join, language_id, packing, quality, queries, sharding, spm, warc
 from docloom.llm.queries import tokenizer_path
 
 
+# 1 sharding
+def plain_tree(rows, leaves, first, extent):
+    """The tree as the docstring states it: rows (sizes, texts, languages, sources, id), sorted and cut one node at a time."""
+    if leaves < 2 or not rows:
+        return {r[-1]: first for r in rows}
+    spread = [(max(r[k] for r in rows) - min(r[k] for r in rows)) / extent[k] for k in range(4)]
+    dim = spread.index(max(spread))
+    rows = sorted(rows, key=lambda r: (r[dim], r[1], r[4]))
+    aim, seen, at = sum(r[0] for r in rows) * (leaves // 2) / leaves, 0, 0
+    while seen + rows[at][0] < aim:
+        seen, at = seen + rows[at][0], at + 1
+    at += seen + rows[at][0] - aim <= aim - seen
+    half = leaves // 2
+    return plain_tree(rows[:at], half, first, extent) | plain_tree(rows[at:], leaves - half, first + half, extent)
+
+
+@pytest.mark.parametrize(("shards", "local_rows"), [(16, 20), (7, 1), (16, 1000)])
+def test_shards_are_those_of_a_plain_tree(spark, docs, shards, local_rows):
+    code = lambda x: zlib.crc32((x if x is not None else "\x00").encode())
+    rows = [(len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), code(r.lang), code(r.source), r.doc_id) for r in docs.collect()]
+    extent = [max(1, max(r[k] for r in rows) - min(r[k] for r in rows)) for k in range(4)]
+    got = {r.doc_id: r.shard for r in sharding.kd_shards(docs, shards=shards, local_rows=local_rows).collect()}
+    assert got == plain_tree(rows, shards, 0, extent)
+
+
+def test_five_thousand_leaves(spark):
+    rows = spark.range(20_000, numPartitions=4).selectExpr("id AS doc_id", "repeat('x', cast(id % 97 AS int)) AS text", "cast(id % 3 AS string) AS lang", "cast(id % 1000 AS string) AS source")
+    got = sharding.kd_shards(rows, shards=5000, local_rows=3000)
+    assert got.count() == 20_000
+    sizes = [r.s for r in got.groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "s").collect()]
+    assert len(sizes) > 4900 and max(sizes) <= 196 + 200
+
+
+def test_rows_equal_in_every_key_share_a_shard(spark):
+    rows = spark.createDataFrame([(7, "same text", "en", "s")] * 50 + [(None, "moretext.", None, None)] * 50, "doc_id long, text string, lang string, source string").repartition(3)
+    for local_rows in (1, 1000):
+        got = sharding.kd_shards(rows, shards=8, local_rows=local_rows).collect()
+        assert {(r.doc_id, r.shard) for r in got if r.doc_id} == {(7, next(r.shard for r in got if r.doc_id))} and len({r.shard for r in got}) == 2
+        assert sorted(r.slot for r in got if r.doc_id) == list(range(50))
+
+
 # 4 packing
 @pytest.mark.parametrize("migrate", [False, True])
 def test_the_search_beats_best_fit_decreasing(spark, migrate):
@@ -208,6 +249,24 @@ def test_every_text_is_cut_as_a_plain_version_cuts_it(spark, docs, texts):
         assert (r.n_tokens, r.ids_crc32) == (len(want), zlib.crc32(want.tobytes()))
 
 
+# 9 WARC
+def test_archives_of_other_attempts_are_not_read(spark, tmp_path):
+    """A task that ran twice, its rows in another order: the archives of one attempt count."""
+    import gzip
+
+    pages = spark.createDataFrame([(k, "u", f"page {k} " * 300) for k in range(40)], "page_id long, url string, html string").repartition(2)
+    folder = str(tmp_path / "archives")
+    n = warc.write_archives(warc.mark_revisits(pages), folder, archive_bytes=2000, segment_bytes=1000)
+    files = sorted((tmp_path / "archives").glob("*.warc.gz"))
+    assert len(files) == n > 4
+    for f in files[:3]:  # what an attempt that was lost left behind: whole archives, and one cut off
+        f.with_name(f.name.replace(".warc.gz", "9.warc.gz")).write_bytes(f.read_bytes())
+    (tmp_path / "archives" / "000000-00009-8.warc.gz").write_bytes(gzip.compress(b"WARC/1.1\r\n")[:9])
+    assert sorted(r.page_id for r in warc.read_archives(spark, folder).collect()) == list(range(40))
+    empty = str(tmp_path / "none")
+    assert warc.write_archives(warc.mark_revisits(pages.limit(0)), empty) == 0 and warc.read_archives(spark, empty).count() == 0
+
+
 # 10 language
 def test_languages_of_one_script_are_told_apart(spark):
     """Words of equal lengths, of letters outside a-z: only the letters tell the languages."""
