@@ -164,16 +164,10 @@ def text_document_marks(spark, sf_dir):
 @query(f"WITH {_ITEMS} SELECT doc_id, 'INV-' || doc_id AS invoice_number, n_items AS n_rows, CASE WHEN off > 0 THEN 1 ELSE 0 END AS n_warnings FROM docs")
 def stream_extract(spark, sf_dir):
     """Whole texts through the streaming plan, read back from its sink."""
-    import uuid
-
+    from ..sources.files import work_dir
     from ..streaming.extract import extract_texts, write_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="docloom-")
-    home = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    home = work_dir(spark, "stream")
     texts = gather(render_lines(spark, sf_dir)).select("doc_id", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
     texts.write.parquet(f"{home}/in")
     stream = spark.readStream.schema("doc_id string, text string").option("maxFilesPerTrigger", 1000).parquet(f"{home}/in")

@@ -149,25 +149,13 @@ def keyword_score(spark, sf_dir):
     return docs.select("doc_id", schema_score(_TRACTOR, F.lower(full_text(F.col("lines"))), header_text(F.col("lines"))).alias("score"))
 
 
-_BOX_SQL = """boxes AS (SELECT l_orderkey AS doc_id, l_linenumber AS line_idx, CAST(l_partkey % 400 AS DOUBLE) AS x0, CAST(l_suppkey % 90 * 7 AS DOUBLE) AS y0,
-    CAST(l_partkey % 400 + 20 + l_quantity AS DOUBLE) AS x1, CAST(l_suppkey % 90 * 7 + 12 + l_linenumber AS DOUBLE) AS y1,
-    row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS copy FROM lineitem)"""
-
-
-def _boxes(spark, sf_dir) -> DataFrame:
-    rows = _t(spark, sf_dir, "lineitem")
-    first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))
-    x, y = F.col("l_partkey") % 400, F.col("l_suppkey") % 90 * 7
-    return rows.withColumn("copy", first).filter("copy = 1").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_idx"), G.box(x, y, x + 20 + F.col("l_quantity"), y + 12 + F.col("l_linenumber")).alias("bbox"))
-
-
 #: All rows: lines numbered anew, as line numbers repeat within an order.
-_ALL_BOX_SQL = """rows AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS line FROM lineitem),
+_BOX_SQL = """rows AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS line FROM lineitem),
     boxes AS (SELECT l_orderkey AS doc_id, line AS line_idx, CAST(l_partkey % 400 AS DOUBLE) AS x0, CAST(l_suppkey % 90 * 7 AS DOUBLE) AS y0,
-    CAST(l_partkey % 400 + 20 + l_quantity AS DOUBLE) AS x1, CAST(l_suppkey % 90 * 7 + 12 + l_linenumber AS DOUBLE) AS y1, 1 AS copy FROM rows)"""
+    CAST(l_partkey % 400 + 20 + l_quantity AS DOUBLE) AS x1, CAST(l_suppkey % 90 * 7 + 12 + l_linenumber AS DOUBLE) AS y1 FROM rows)"""
 
 
-def _all_boxes(spark, sf_dir) -> DataFrame:
+def _boxes(spark, sf_dir) -> DataFrame:
     line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     x, y = F.col("l_partkey") % 400, F.col("l_suppkey") % 90 * 7
     return _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), line.alias("line_idx"), G.box(x, y, x + 20 + F.col("l_quantity"), y + 12 + F.col("l_linenumber")).alias("bbox"))
@@ -184,18 +172,12 @@ _BELOW = _NEAR.format(name="below", most=200.0, dist="sqrt(pow(abs(a.x0 - b.x0)
 
 
 def _near_query(name, find):
-    @query(f"WITH {_BOX_SQL}, b1 AS (SELECT * FROM boxes WHERE copy = 1), r AS ({_RIGHT if name == 'right' else _BELOW}) SELECT doc_id, line_idx, {name}_idx, round(dist, 6) AS dist, round(score, 6) AS score FROM r")
+    @query(f"WITH {_BOX_SQL}, b1 AS (SELECT * FROM boxes), r AS ({_RIGHT if name == 'right' else _BELOW}) SELECT doc_id, line_idx, {name}_idx, round(dist, 6) AS dist, round(score, 6) AS score FROM r")
     def run(spark, sf_dir):
         return find(_boxes(spark, sf_dir)).withColumns({"dist": F.round("dist", 6), "score": F.round("score", 6)})
 
     QUERIES[f"spatial_{name}_neighbor"], ORACLES[f"spatial_{name}_neighbor"] = QUERIES.pop("run"), ORACLES.pop("run")
 
-    @query(ORACLES[f"spatial_{name}_neighbor"].replace(_BOX_SQL, _ALL_BOX_SQL))
-    def run(spark, sf_dir):
-        return find(_all_boxes(spark, sf_dir)).withColumns({"dist": F.round("dist", 6), "score": F.round("score", 6)})
-
-    QUERIES[f"spatial_{name}_neighbor_all"], ORACLES[f"spatial_{name}_neighbor_all"] = QUERIES.pop("run"), ORACLES.pop("run")
-
 
 _near_query("right", spatial.right_neighbors)
 _near_query("below", spatial.below_neighbors)
@@ -203,19 +185,11 @@ _near_query("below", spatial.below_neighbors)
 
 @query(f"""WITH {_BOX_SQL}, p AS (SELECT a.doc_id, a.line_idx, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0, b.y0, b.x1, b.y1,
         greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS w, greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS h
-    FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND b.line_idx = a.line_idx + 1 WHERE a.copy = 1 AND b.copy = 1)
+    FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND b.line_idx = a.line_idx + 1)
     SELECT doc_id, line_idx, round(w * h / ((ax1 - ax0) * (ay1 - ay0) + (x1 - x0) * (y1 - y0) - w * h), 6) AS iou, round(h / least(ay1 - ay0, y1 - y0), 6) AS v_overlap,
         round(w / least(ax1 - ax0, x1 - x0), 6) AS h_overlap FROM p""")
 def box_iou_overlap(spark, sf_dir):
-    return _overlaps(_boxes(spark, sf_dir))
-
-
-@query(ORACLES["box_iou_overlap"].replace(_BOX_SQL, _ALL_BOX_SQL))
-def box_iou_overlap_all(spark, sf_dir):
-    return _overlaps(_all_boxes(spark, sf_dir))
-
-
-def _overlaps(b: DataFrame) -> DataFrame:
+    b = _boxes(spark, sf_dir)
     pairs = b.join(b.select("doc_id", (F.col("line_idx") - 1).alias("line_idx"), F.col("bbox").alias("o")), ["doc_id", "line_idx"])
     x, o = F.col("bbox"), F.col("o")
     return pairs.select("doc_id", "line_idx", F.round(G.iou(x, o), 6).alias("iou"), F.round(G.vertical_overlap(x, o), 6).alias("v_overlap"), F.round(G.horizontal_overlap(x, o), 6).alias("h_overlap"))
@@ -232,16 +206,11 @@ def reading_order(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(G.reading_order(F.col("items"))).alias("k", "x")).select("doc_id", "x.item", (F.col("k") + 1).alias("place"))
 
 
-@query("""WITH q AS (SELECT p_partkey, p_name, replace(p_name, 'a', 'o') AS typed, CAST(p_partkey % 8 AS INT) AS part FROM part WHERE p_partkey <= 400),
+@query("""WITH q AS (SELECT p_partkey, p_name, replace(p_name, 'a', 'o') AS typed, CAST(p_partkey % 8 AS INT) AS part FROM part),
     c AS (SELECT DISTINCT p_name AS entry FROM part),
     s AS (SELECT p_partkey, entry, levenshtein(typed, entry) / greatest(length(typed), length(entry)) AS nled FROM q CROSS JOIN c)
     SELECT p_partkey, entry, round(nled, 6) AS nled FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY nled, entry) AS r FROM s) WHERE r = 1""")
 def entity_match_levenshtein(spark, sf_dir):
-    return entity_match_levenshtein_all(spark, sf_dir).filter("p_partkey <= 400")
-
-
-@query(ORACLES["entity_match_levenshtein"].replace(" WHERE p_partkey <= 400", ""))
-def entity_match_levenshtein_all(spark, sf_dir):
     part = _t(spark, sf_dir, "part")
     typed = part.select("p_partkey", F.replace("p_name", F.lit("a"), F.lit("o")).alias("text"))
     best = match.nearest_entries(typed, part.select(F.col("p_name").alias("entry")))

@@ -34,7 +34,7 @@ def test_every_part_has_a_match(spark):
     for r in part.collect():
         typed = r.p_name.replace("a", "o")
         want[r.p_partkey] = min((round(distance(typed, n) / max(len(typed), len(n)), 6), n) for n in names)[::-1]
-    assert {r.p_partkey: (r.entry, r.nled) for r in entry.queries()["entity_match_levenshtein_all"](spark, f"{SF}/../sf0.01").collect()} == want
+    assert {r.p_partkey: (r.entry, r.nled) for r in entry.queries()["entity_match_levenshtein"](spark, f"{SF}/../sf0.01").collect()} == want
 
 
 def test_every_line_is_a_box(spark):
@@ -57,5 +57,5 @@ def test_every_line_is_a_box(spark):
                 right[d, i] = min(found)[1]
     assert len(rows) > len({(r.l_orderkey, r.l_linenumber) for r in rows})
     got = entry.queries()
-    assert {(r.doc_id, r.line_idx): r.right_idx for r in got["spatial_right_neighbor_all"](spark, SF).collect()} == right
-    assert {(r.doc_id, r.line_idx) for r in got["box_iou_overlap_all"](spark, SF).collect()} == {(d, i) for d, b in docs.items() for i in range(1, len(b))}
+    assert {(r.doc_id, r.line_idx): r.right_idx for r in got["spatial_right_neighbor"](spark, SF).collect()} == right
+    assert {(r.doc_id, r.line_idx) for r in got["box_iou_overlap"](spark, SF).collect()} == {(d, i) for d, b in docs.items() for i in range(1, len(b))}
