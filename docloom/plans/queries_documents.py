@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box
-from ..operators import tables as tables_
+from ..operators import tables as tables_, vision
 from ..operators.classify import classify
 from ..operators.documents import gather
 from ..operators.fields import key_values
@@ -14,7 +14,7 @@ from ..operators.vision import text_marks
 from ..sources import sinks
 from ..sources.schemas import Registry
 from .extraction import extract_documents, field_rows, sections, table_rows
-from .render import order_items, render_lines
+from .render import order_items, render_lines, render_pages
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -175,3 +175,35 @@ def stream_extract(spark, sf_dir):
     docs = spark.read.parquet(f"{home}/out")
     value = F.get(F.filter("fields", lambda f: f["field"] == "invoice_number"), F.lit(0))["value_str"]
     return docs.select("doc_id", value.alias("invoice_number"), F.size(F.get("tables", F.lit(0))["rows"]).alias("n_rows"), F.size("warnings").alias("n_warnings"))
+
+
+@query("""WITH d AS (SELECT s_suppkey AS key, unnest(['clean', 'blur', 'noise', 'rotation_90', 'rotation_180', 'low_contrast', 'downscale']) AS condition FROM supplier),
+    p AS (SELECT *, CASE WHEN key % 2 = 0 THEN 240 ELSE 320 END AS h, CASE WHEN key % 2 = 0 THEN 320 ELSE 240 END AS w FROM d)
+    SELECT key, condition, CASE WHEN condition = 'rotation_90' THEN w ELSE h END AS height, CASE WHEN condition = 'rotation_90' THEN h ELSE w END AS width,
+    CASE WHEN (key % 2 = 0) <> (condition = 'rotation_90') THEN 90 ELSE 0 END AS angle FROM p""")
+def degraded_pages(spark, sf_dir):
+    """Every page under every robustness condition: its size and its orientation."""
+    pages = render_pages(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("key")))
+
+    def of(page):
+        made = {c: vision.degrade(page, c) for c in vision.CONDITIONS}
+        return {"found": [{"condition": c, "height": x.shape[0], "width": x.shape[1], "angle": vision.orientation(x)} for c, x in made.items()]}
+
+    rows = vision.apply_kernel(pages.select(F.col("key").cast("string").alias("path"), "content"), None, of, "found array<struct<condition:string,height:int,width:int,angle:int>>")
+    return rows.select(F.col("path").cast("long").alias("key"), F.explode("found").alias("f")).select("key", "f.*")
+
+
+@query("""SELECT s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN 90 ELSE 0 END AS angle, s_suppkey % 3 = 0 AS stamp, s_suppkey % 5 = 0 AS signature,
+    CASE WHEN s_suppkey % 3 = 0 THEN 0.96 ELSE 0.15 END AS stamp_confidence, CASE WHEN s_suppkey % 3 = 0 THEN 170 ELSE -1 END AS stamp_x0, CASE WHEN s_suppkey % 3 = 0 THEN 215 ELSE -1 END AS stamp_y1 FROM supplier""")
+def page_marks(spark, sf_dir):
+    """The marks of every page, set upright first."""
+    pages = render_pages(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("key")))
+
+    def of(page):
+        upright, done = vision.preprocess(page, deskew=False, contrast=False, noise=False)
+        stamp, signature = (vision.detect_mark(k, upright) for k in ("stamp", "signature"))
+        at = stamp["bbox"] or [-1.0] * 4
+        return {"angle": done["orientation_angle_corrected"], "stamp": stamp["present"], "signature": signature["present"], "stamp_confidence": stamp["confidence"], "stamp_x0": at[0], "stamp_y1": at[3]}
+
+    rows = vision.apply_kernel(pages.select(F.col("key").cast("string").alias("path"), "content"), None, of, "angle int, stamp boolean, signature boolean, stamp_confidence double, stamp_x0 double, stamp_y1 double")
+    return rows.select(F.col("path").cast("long").alias("key"), "angle", "stamp", "signature", "stamp_confidence", F.col("stamp_x0").cast("int").alias("stamp_x0"), F.col("stamp_y1").cast("int").alias("stamp_y1"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box
+from ..operators.imaging import encode_png
 
 
 def money(c: Column) -> Column:
@@ -52,3 +55,33 @@ def render_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = items.select("order_key", (F.col("line_number") + 100).alias("line_idx"), F.concat_ws(" ", F.col("line_number").cast("string"), "item", F.col("qty").cast("bigint").cast("string"), money(F.col("unit_price")), money(F.col("amount"))).alias("text"))
     y = F.col("line_idx") * 25.0
     return framed.unionByName(body).select(F.col("order_key").cast("string").alias("doc_id"), F.col("line_idx").cast("int").alias("line_idx"), F.lit(1).alias("page"), "text", box(50, y, 450, y + 20).alias("bbox"), F.lit(0.98).alias("confidence"))
+
+
+PAGE_HEIGHT, PAGE_WIDTH = 320, 240
+#: A pen stroke that a page may have in its lower half: corners (x, y) of a line drawn three pixels wide.
+STROKE = ((40, 250), (55, 215), (65, 255), (80, 212), (95, 256), (108, 220), (120, 250), (140, 230))
+
+
+def page_image(key: int) -> np.ndarray:
+    """A page of text lines (blue, green, red): on its side for even keys, a stamp for every third, a signature for every fifth."""
+    page = np.full((PAGE_HEIGHT, PAGE_WIDTH, 3), 255, np.uint8)
+    for y in range(12, 140, 12):
+        page[y : y + 4, 12 : PAGE_WIDTH - 12] = 0
+    if key % 3 == 0:
+        page[165 : 165 + 50, 170 : 170 + 50] = (200, 40, 40)
+    if key % 5 == 0:
+        for (x0, y0), (x1, y1) in zip(STROKE, STROKE[1:]):
+            n = 2 * max(abs(x1 - x0), abs(y1 - y0))
+            for x, y in zip(np.linspace(x0, x1, n).round().astype(int), np.linspace(y0, y1, n).round().astype(int)):
+                page[y - 1 : y + 2, x - 1 : x + 2] = (30, 30, 30)
+    return np.rot90(page).copy() if key % 2 == 0 else page
+
+
+def render_pages(keys: DataFrame) -> DataFrame:
+    """(key, content): a PNG file per key of ``keys`` (key)."""
+
+    def draw(batches):
+        for batch in batches:
+            yield pd.DataFrame({"key": batch["key"], "content": [encode_png(page_image(int(k))) for k in batch["key"]]})
+
+    return keys.mapInPandas(draw, "key long, content binary")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import confidence, evaluate, match, rules, spatial, vision
+from docloom.operators import confidence, evaluate, match, rules, spatial
 from docloom.plans.extraction import extract_documents, field_rows, table_rows
 from docloom.sources import sinks
 from docloom.sources.files import ground_truth, load_config
@@ -155,19 +155,6 @@ def test_spatial_join_agrees_with_all_pairs(spark):
     assert {(r.line_idx, r.right_idx) for r in spatial.right_neighbors(boxes).collect()} == {(0, 1), (1, 2)}
     assert (0, 4) in {(r.line_idx, r.below_idx) for r in spatial.below_neighbors(boxes).collect()}
 
-
-def test_vision_kernels():
-    import numpy as np
-
-    page = np.full((600, 600, 3), 255, np.uint8)
-    assert vision.find_stamp(page)[0] is False and vision.orientation(page) == 0
-    yy, xx = np.mgrid[:600, :600]
-    page[np.abs(np.hypot(yy - 300, xx - 300) - 60) < 8] = (200, 40, 30)
-    present, score, box = vision.find_stamp(page)
-    assert present and score > 0.6 and box[0] < 240
-    assert vision.degrade(page, "downscale").shape[:2] == (300, 300) and vision.degrade(page, "blur").shape == page.shape
-
-
 def test_stream_matches_batch(spark, tmp_path):
     from docloom.streaming.extract import extract_texts, read_stream, write_stream
 
