@@ -12,9 +12,12 @@
    measured. A start whose string is shared with a neighbour in the array repeats.
 4. Repeated starts go back to all documents with that context; the union of the strings is removed.
 
-An anchor with contexts beyond ``HOT_CONTEXTS`` (a passage that very many documents hold) is split
-before it reaches a shard: strings that begin near the anchor are keyed by offset and string hash,
-the others by the bytes before the anchor as well, which equal strings share.
+An anchor with contexts beyond ``HOT_CONTEXTS`` (a passage that very many documents hold, each with
+text of its own around it) never reaches a shard. Its contexts are cut into blocks of ``BLOCK_STARTS``
+starts at fixed offsets to the anchor; all strings of a block hold its core, the bytes that they have
+in common, so blocks of different cores hold no equal strings. Blocks of one core that are equal in
+full repeat in full; where they differ, each start goes by offset and string hash. Both steps are
+counts of narrow rows, aggregated before they are shuffled, so no task gathers an anchor's contexts.
 
 Defined results: null text counts as empty; texts shorter than ``width`` are never touched; repeated
 rows are copies, so all of their strings repeat; a null id is allowed; an empty table gives no rows;
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, discard, never_keys, only_keys, work_dir
+from ._common import cut, discard, never_keys, only_keys, trimmed, work_dir
 from ._sais import permuted_common_prefixes, suffix_array
 from ._text import mix, prefix_hash, span_hash
 
@@ -39,14 +42,13 @@ WIDTH = 400
 #: Bytes of an anchor's window.
 ANCHOR = 32
 #: Bytes that one suffix array covers; a single anchor's contexts may be more.
-SHARD_BYTES = 2 << 20
-#: Different contexts of an anchor beyond which they are split by what stands before the anchor.
-HOT_CONTEXTS = 2_000
-#: Bytes before the anchor by which they are split.
-BEFORE = 16
+SHARD_BYTES = 1 << 20
+#: Different contexts of an anchor beyond which they are not sorted but split into blocks and starts.
+HOT_CONTEXTS = 1_000
+#: Starts of a block of a hot context.
+BLOCK_STARTS = 32
 #: Starts of a text handled at a time.
-STRETCH = 4 << 20
-_PLACE_BITS = np.uint64(24)
+STRETCH = 1 << 20
 
 
 def anchors(data: np.ndarray, width: int = WIDTH) -> Iterator[tuple[np.ndarray, ...]]:
@@ -101,31 +103,21 @@ def _occurrences(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
             )
 
 
-_CUT = "anchor long, context long, part long, place int, lo int, hi int, bytes binary"
+_CUT = "anchor long, context long, place int, n int, hot boolean, bytes binary"
+_CUT_ARROW = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("hot", pa.bool_()), ("bytes", pa.binary())])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of each wanted context; those of hot anchors in parts that equal strings share."""
+    """The bytes of each wanted context."""
     for batch in batches:
         rows, size = [], 0
         for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
             data = text.as_buffer()
             data = memoryview(data) if data is not None else memoryview(b"")
             for w in wanted.as_py():
-                a, n, place = w["first"], w["starts"], w["place"]
-                whole = bytes(data[a : a + n + width - 1])
-                base = {"anchor": w["anchor"], "context": w["context"], "place": place}
-                if not w["hot"]:
-                    rows.append(base | {"part": 0, "lo": 0, "hi": n, "bytes": whole})
-                    size += len(whole)
-                else:
-                    near = max(0, place - BEFORE + 1)  # starts from here on have fewer bytes before the anchor
-                    if near > 0:
-                        rows.append(base | {"part": _name(whole[place - BEFORE : place]), "lo": 0, "hi": min(near, n), "bytes": whole[: min(near, n) + width - 1]})
-                        size += len(whole)
-                    for s in range(near, n):
-                        rows.append(base | {"part": _name(b"%d:" % (place - s) + whole[s : s + width]), "lo": s, "hi": s + 1, "bytes": whole[s : s + width]})
-                        size += width
+                a, n = w["first"], w["starts"]
+                rows.append({"anchor": w["anchor"], "context": w["context"], "place": w["place"], "n": n, "hot": w["hot"], "bytes": bytes(data[a : a + n + width - 1])})
+                size += n + width - 1
                 if size > SHARD_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, _CUT_ARROW)
                     rows, size = [], 0
@@ -133,11 +125,53 @@ def _contexts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_pylist(rows, _CUT_ARROW)
 
 
-_CUT_ARROW = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("part", pa.int64()), ("place", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("bytes", pa.binary())])
+def _hot_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of hot contexts: starts from lo to hi, a hash of the block's place and core, one of all its bytes."""
+    for batch in batches:
+        out = []
+        for k, (place, n, data) in enumerate(zip(batch.column("place").to_pylist(), batch.column("n").to_pylist(), batch.column("bytes"), strict=True)):
+            prefix = prefix_hash(np.frombuffer(data.as_buffer(), np.uint8))
+            number = np.arange((place - n + 1) // BLOCK_STARTS, place // BLOCK_STARTS + 1)  # by offset to the anchor
+            first, last = place - (number + 1) * BLOCK_STARTS + 1, place - number * BLOCK_STARTS
+            lo, hi = np.maximum(first, 0), np.minimum(last, n - 1)
+            salt = mix((number + (1 << 20)).astype(np.uint64))
+            core = span_hash(prefix, last, first + width) ^ salt
+            whole = span_hash(prefix, lo, hi + width) ^ mix(((lo - first) * 4096 + hi - lo).astype(np.uint64)) ^ salt
+            out.append((np.full(len(number), k), lo, hi + 1, core, whole))
+        if out:
+            row, lo, hi, core, whole = (np.concatenate(x) for x in zip(*out, strict=True))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("anchor").take(take), batch.column("context").take(take), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))],
+                names=["anchor", "context", "lo", "hi", "core", "whole"],
+            )
 
 
-def _name(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
+def _hot_starts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The starts of blocks of hot contexts: a hash of the string and its offset to the anchor."""
+    for batch in batches:
+        out = []
+        for k, (place, data, ranges) in enumerate(zip(batch.column("place").to_pylist(), batch.column("bytes"), batch.column("ranges").to_pylist(), strict=True)):
+            prefix = prefix_hash(np.frombuffer(data.as_buffer(), np.uint8))
+            lo = np.concatenate([np.arange(r["lo"], r["hi"]) for r in ranges])
+            out.append((np.full(len(lo), k), lo, span_hash(prefix, lo, lo + width) ^ mix((place - lo + (1 << 20)).astype(np.uint64))))
+        if out:
+            row, lo, string = (np.concatenate(x) for x in zip(*out, strict=True))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("anchor").take(take), batch.column("context").take(take), pa.array(lo.astype(np.int32)), pa.array(string.view(np.int64))], names=["anchor", "context", "lo", "string"])
+
+
+def _hot_found(hot: DataFrame, width: int, home: str) -> DataFrame:
+    """Repeated starts of hot contexts, as ranges (anchor, context, lo, hi)."""
+    blocks = cut(hot.mapInArrow(lambda it: _hot_blocks(it, width), "anchor long, context long, lo int, hi int, core long, whole long"), f"{home}/blocks")
+    cores = blocks.groupBy("anchor", "core").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).filter("n > 1")
+    again = cut(blocks.join(cores.drop("n"), ["anchor", "core"]).select("anchor", "context", "lo", "hi", (F.col("least") == F.col("most")).alias("equal")), f"{home}/again")
+    mixed = again.filter("NOT equal").groupBy("anchor", "context").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    each = hot.join(mixed, ["anchor", "context"]).select("anchor", "context", "place", "bytes", "ranges")
+    each = cut(each.mapInArrow(lambda it: _hot_starts(it, width), "anchor long, context long, lo int, string long"), f"{home}/starts")
+    strings = each.groupBy("anchor", "string").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    single = each.join(strings, ["anchor", "string"]).select("anchor", "context", "lo", (F.col("lo") + 1).alias("hi"))
+    return again.filter("equal").select("anchor", "context", "lo", "hi").unionByName(single)
 
 
 def repeated_starts(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -163,7 +197,7 @@ _FOUND_ARROW = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("lo"
 
 
 def _shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor and part: whole groups are gathered to a shard, and shards are searched."""
+    """Rows sorted by anchor: whole groups are gathered to a shard, and shards are searched."""
     held: list[dict] = []
     group: list[dict] = []
     size = own = 0
@@ -172,13 +206,13 @@ def _shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         out = []
         for r, again in zip(held, repeated_starts([r["bytes"] for r in held], width), strict=True):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
-            out += [{"anchor": r["anchor"], "context": r["context"], "lo": r["lo"] + a, "hi": r["lo"] + b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+            out += [{"anchor": r["anchor"], "context": r["context"], "lo": a, "hi": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
         held.clear()
         return pa.RecordBatch.from_pylist(out, _FOUND_ARROW)
 
     for batch in batches:
         for r in batch.to_pylist():
-            if group and (group[0]["anchor"], group[0]["part"]) != (r["anchor"], r["part"]):
+            if group and group[0]["anchor"] != r["anchor"]:
                 if len(group) > 1:
                     if held and size + own > SHARD_BYTES:
                         yield search()
@@ -205,7 +239,7 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("digest"), text.cast("binary").alias("text"))
     keys = ["anchor", "context"]
-    occurs = cut(texts.mapInArrow(lambda it: _occurrences(it, width), _OCCURS.format(kind=kind)), f"{home}/occurs")
+    occurs = cut(texts.mapInArrow(lambda it: trimmed(_occurrences(it, width)), _OCCURS.format(kind=kind)), f"{home}/occurs")
     again = occurs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     hits = cut(occurs.join(again, "anchor", "left_semi"), f"{home}/hits")
     discard(spark, f"{home}/occurs")
@@ -216,9 +250,12 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = cut(wanted.groupBy("doc_id", "digest").agg(F.collect_list("w").alias("wanted")), f"{home}/wanted")
     same = [F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("t.digest") == F.col("w.digest")]
     there = only_keys(texts, wanted, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]) if _repeats(docs, id_col) else only_keys(texts, wanted, ["doc_id", "digest"])
-    parts = there.alias("t").join(wanted.alias("w"), same).select("t.text", "w.wanted").mapInArrow(lambda it: _contexts(it, width), _CUT)
-    parts = parts.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "context")
-    found = parts.mapInArrow(lambda it: _shards(it, width), _FOUND)
+    parts = cut(there.alias("t").join(wanted.alias("w"), same).select("t.text", "w.wanted").mapInArrow(lambda it: trimmed(_contexts(it, width)), _CUT), f"{home}/parts")
+    sorted_ = parts.filter("NOT hot").select("anchor", "context", "bytes").repartition("anchor").sortWithinPartitions("anchor", "context")
+    found = sorted_.mapInArrow(lambda it: trimmed(_shards(it, width)), _FOUND)
+    hot = parts.filter("hot")
+    if not hot.isEmpty():
+        found = found.unionByName(_hot_found(hot, width, home))
     whole = each.filter("n > 1").select("anchor", "context", F.lit(0).alias("lo"), F.col("rep.starts").alias("hi"))
     found = cut(found.unionByName(whole), f"{home}/found")
     ranges = hits.join(found, keys).select("doc_id", "digest", F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + width - 1).alias("hi")).alias("r"))
@@ -257,7 +294,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256), one per document."""
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, has_repeats), one per document."""
     ranges = repeated_ranges(docs, id_col=id_col, text_col=text_col, width=width)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -266,7 +303,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     touched = touched.mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
     untouched = untouched.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    return untouched.unionByName(touched)
+    return untouched.unionByName(touched).withColumns({"n_kept": F.col("n_bytes") - F.col("n_removed"), "has_repeats": F.col("n_removed") > 0})
 
 
 def split_by(texts: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
