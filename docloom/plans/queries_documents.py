@@ -14,7 +14,7 @@ from ..operators.vision import text_marks
 from ..sources import sinks
 from ..sources.schemas import Registry
 from .extraction import extract_documents, field_rows, sections, table_rows
-from .render import order_items, render_lines, render_pages
+from .render import order_items, render_lines, render_pages, tractor_lines
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -207,3 +207,55 @@ def page_marks(spark, sf_dir):
 
     rows = vision.apply_kernel(pages.select(F.col("key").cast("string").alias("path"), "content"), None, of, "angle int, stamp boolean, signature boolean, stamp_confidence double, stamp_x0 double, stamp_y1 double")
     return rows.select(F.col("path").cast("long").alias("key"), "angle", "stamp", "signature", "stamp_confidence", F.col("stamp_x0").cast("int").alias("stamp_x0"), F.col("stamp_y1").cast("int").alias("stamp_y1"))
+
+
+def _catalogs() -> tuple[list[str], list[str]]:
+    """Dealers and models; a model that begins like its label is left out."""
+    fields = {f.name: list(f.catalog) for f in Registry.shared().get("tractor_invoice").fields}
+    return fields["dealer_name"], [m for m in fields["model_name"] if not m.lower().startswith("model")]
+
+
+def _tractors_sql() -> str:
+    of = lambda names: "['" + "', '".join(n.replace("'", "''") for n in names) + f"'][CAST(o_orderkey % {len(names)} AS INT) + 1]"
+    dealers, models = _catalogs()
+    return f"""t AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, ['inline', 'right', 'below', 'out_of_range', 'no_cost', 'in_text', 'unknown'][CAST(o_orderkey % 7 AS INT) + 1] AS shape, {of(dealers)} AS dealer, {of(models)} AS model,
+        CASE WHEN o_orderkey % 7 = 3 THEN 180 + o_orderkey % 10 ELSE 20 + o_orderkey % 60 END AS hp, (300 + o_orderkey % 500) * 1000 AS cost, 'TR-' || CAST(o_orderkey AS VARCHAR) AS number, strftime(o_orderdate, '%d/%m/%Y') AS date, c_name
+        FROM orders JOIN customer ON o_custkey = c_custkey),
+    m AS (SELECT *, CASE shape WHEN 'right' THEN 'layout_kv_right' WHEN 'below' THEN 'layout_kv_below' ELSE 'layout_kv_inline' END AS method, CASE shape WHEN 'right' THEN 0.94 WHEN 'below' THEN 0.95 ELSE 0.96 END AS sure FROM t)"""
+
+
+@query(f"""WITH {_tractors_sql()} SELECT doc_id, f.name AS field_name, f.value AS value, f.num AS value_num, CASE WHEN f.name = 'horse_power' AND shape = 'in_text' THEN 'regex_pattern' ELSE method END AS method,
+        CASE WHEN f.name = 'horse_power' AND shape = 'in_text' THEN 0.92 ELSE sure END AS confidence FROM (SELECT *, unnest([
+            {{'name': 'dealer_name', 'value': dealer, 'num': CAST(NULL AS DOUBLE)}}, {{'name': 'model_name', 'value': model, 'num': NULL}}, {{'name': 'invoice_number', 'value': number, 'num': NULL}}, {{'name': 'invoice_date', 'value': date, 'num': NULL}},
+            {{'name': 'customer_name', 'value': c_name, 'num': NULL}}, {{'name': 'horse_power', 'value': CAST(hp AS VARCHAR), 'num': CAST(hp AS DOUBLE)}}, {{'name': 'asset_cost', 'value': CAST(cost AS VARCHAR) || '.0', 'num': CAST(cost AS DOUBLE)}}]) AS f FROM m)
+    WHERE shape <> 'unknown' AND NOT (shape = 'no_cost' AND f.name = 'asset_cost')""")
+def tractor_fields(spark, sf_dir):
+    """Fields of tractor invoices of all shapes: from the label's line, from beside it, from below, from a pattern."""
+    rows = field_rows(extract_documents(tractor_lines(spark, sf_dir, *_catalogs())))
+    return rows.select("doc_id", "field_name", F.col("value_str").alias("value"), "value_num", "method", "confidence")
+
+
+@query(f"""WITH {_tractors_sql()}, d AS (SELECT doc_id, shape, hp,
+        CASE shape WHEN 'right' THEN 0.94 WHEN 'below' THEN 0.95 WHEN 'out_of_range' THEN 0.66 WHEN 'no_cost' THEN 0.81 WHEN 'in_text' THEN 0.955 WHEN 'unknown' THEN 0.5 ELSE 0.96 END AS c FROM m)
+    SELECT doc_id, CASE WHEN shape = 'unknown' THEN 'generic' ELSE 'tractor_invoice' END AS document_type, CAST(c AS DOUBLE) AS overall_confidence,
+        CASE WHEN shape = 'unknown' OR c < 0.70 THEN 'MANUAL_REVIEW' WHEN c < 0.88 THEN 'REVIEW' ELSE 'AUTO_APPROVE' END AS decision,
+        CASE shape WHEN 'out_of_range' THEN '[horse_power_range] Field ''horse_power'' value ' || CAST(hp AS VARCHAR) || ' exceeds maximum allowed (150.0).' WHEN 'no_cost' THEN '[required_field] Mandatory field ''asset_cost'' is missing.' ELSE '' END AS first_error,
+        CASE shape WHEN 'out_of_range' THEN 3 WHEN 'no_cost' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END AS n_reasons FROM d""")
+def tractor_decisions(spark, sf_dir):
+    """Approved, to be reviewed, to be done by hand: decisions on tractor invoices of all shapes."""
+    docs = extract_documents(tractor_lines(spark, sf_dir, *_catalogs()))
+    first = F.coalesce(F.get("errors", F.lit(0)), F.lit(""))
+    return docs.select("doc_id", "document_type", F.round("overall_confidence", 3).alias("overall_confidence"), "decision", first.alias("first_error"), F.size("review_reasons").alias("n_reasons"))
+
+
+@query(f"""WITH {_ITEMS} SELECT count(*) AS total_processed, count(*) FILTER (k % 10 <> 0) AS successful, count(*) FILTER (k % 10 = 0) AS failed,
+    count(*) FILTER (k % 10 <> 0) AS auto_approve, 0 AS review, 0 AS manual_review FROM docs""")
+def batch_with_broken_documents(spark, sf_dir):
+    """A batch in which every tenth file is no text: each fails by itself, the others go through."""
+    from ..service import extract_files
+
+    texts = gather(render_lines(spark, sf_dir)).select("doc_id", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
+    broken = F.col("doc_id").cast("long") % 10 == 0
+    files = texts.select(F.concat("doc_id", F.lit(".txt")).alias("path"), F.when(broken, F.concat(F.unhex(F.lit("FFFE")), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary")).alias("content"))
+    docs = extract_files(files)
+    return sinks.batch_summary(docs, F.col("error").isNotNull())

@@ -57,6 +57,38 @@ def render_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framed.unionByName(body).select(F.col("order_key").cast("string").alias("doc_id"), F.col("line_idx").cast("int").alias("line_idx"), F.lit(1).alias("page"), "text", box(50, y, 450, y + 20).alias("bbox"), F.lit(0.98).alias("confidence"))
 
 
+#: Shapes that a tractor invoice has, by its order's number: all labels with their values; values to the
+#: right of their labels; values below; horse power out of range; no cost; horse power in running text;
+#: nothing that says what it is.
+TRACTOR_SHAPES = ("inline", "right", "below", "out_of_range", "no_cost", "in_text", "unknown")
+
+
+def tractor_lines(spark: SparkSession, sf_dir: str, dealers: list[str], models: list[str]) -> DataFrame:
+    """Lines of one tractor invoice per order, its shape by the order's number."""
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    o = t("orders").select("o_orderkey", "o_custkey", "o_orderdate").join(t("customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    key = F.col("o_orderkey")
+    shape = F.element_at(F.array(*[F.lit(x) for x in TRACTOR_SHAPES]), (key % len(TRACTOR_SHAPES) + 1).cast("int"))
+    of = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (key % len(names) + 1).cast("int"))
+    hp = F.when(shape == "out_of_range", 180 + key % 10).otherwise(20 + key % 60).cast("string")
+    o = o.select(key.cast("string").alias("doc_id"), shape.alias("shape"), of(dealers).alias("dealer"), of(models).alias("model"), hp.alias("hp"), F.concat((300 + key % 500).cast("string"), F.lit("000.00")).alias("cost"), F.concat(F.lit("TR-"), key.cast("string")).alias("number"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("date"), "c_name")
+    c = F.col
+    labelled = [("Authorised Dealer", c("dealer")), ("Model Name", c("model")), ("Invoice No", c("number")), ("Invoice Date", c("date")), ("Customer Name", c("c_name")), ("Horse Power", c("hp")), ("Total Cost", c("cost"))]
+    rows = [(0, 50, F.when(c("shape") == "unknown", "NOTE").otherwise("TRACTOR TAX INVOICE"), F.lit(True))]
+    for k, (label, value) in enumerate(labelled, 1):
+        there = (c("shape") != "unknown") & ~((c("shape") == "no_cost") & F.lit(label == "Total Cost"))
+        spoken = (c("shape") == "in_text") & F.lit(label == "Horse Power")
+        apart = c("shape").isin("right", "below")
+        y = F.lit(100.0 * k)
+        rows.append((10 * k, y, F.when(spoken, F.concat(F.lit("diesel engine of "), value, F.lit(" hp"))).when(apart, F.concat(F.lit(label), F.lit(" :"))).otherwise(F.concat(F.lit(label), F.lit(" : "), value)), there))
+        rows.append((10 * k + 1, F.when(c("shape") == "below", y + 26.0).otherwise(y), value, there & apart))
+    rows.append((900, F.lit(50.0), F.lit("horse power rating as per maker"), c("shape") == "in_text"))
+    lines = F.array(*[F.struct(F.lit(i).alias("line_idx"), F.lit(y).cast("double").alias("y") if not isinstance(y, Column) else y.cast("double").alias("y"), (x if isinstance(x, Column) else F.lit(x)).alias("text"), there.alias("there")) for i, y, x, there in rows])
+    found = o.select("doc_id", "shape", F.explode(lines).alias("l")).filter("l.there")
+    x0 = F.when((c("shape") == "right") & (c("l.line_idx") % 10 == 1) & (c("l.line_idx") > 0), 260.0).otherwise(50.0)
+    return found.select("doc_id", "l.line_idx", F.lit(1).alias("page"), "l.text", box(x0, c("l.y"), x0 + 180.0, c("l.y") + 20.0).alias("bbox"), F.lit(0.97).alias("confidence"))
+
+
 PAGE_HEIGHT, PAGE_WIDTH = 320, 240
 #: A pen stroke that a page may have in its lower half: corners (x, y) of a line drawn three pixels wide.
 STROKE = ((40, 250), (55, 215), (65, 255), (80, 212), (95, 256), (108, 220), (120, 250), (140, 230))
