@@ -210,9 +210,10 @@ def page_marks(spark, sf_dir):
 
 
 def _catalogs() -> tuple[list[str], list[str]]:
-    """Dealers and models; a model that begins like its label is left out."""
-    fields = {f.name: list(f.catalog) for f in Registry.shared().get("tractor_invoice").fields}
-    return fields["dealer_name"], [m for m in fields["model_name"] if not m.lower().startswith("model")]
+    """Dealers and models; a model that holds a label's words is left out, as it would be read as that label."""
+    fields = {f.name: f for f in Registry.shared().get("tractor_invoice").fields}
+    labels = [a for f in fields.values() for a in f.aliases]
+    return list(fields["dealer_name"].catalog), [m for m in fields["model_name"].catalog if not any(a in m.lower() for a in labels)]
 
 
 def _tractors_sql() -> str:
@@ -225,7 +226,7 @@ def _tractors_sql() -> str:
 
 
 @query(f"""WITH {_tractors_sql()} SELECT doc_id, f.name AS field_name, f.value AS value, f.num AS value_num, CASE WHEN f.name = 'horse_power' AND shape = 'in_text' THEN 'regex_pattern' ELSE method END AS method,
-        CASE WHEN f.name = 'horse_power' AND shape = 'in_text' THEN 0.92 ELSE sure END AS confidence FROM (SELECT *, unnest([
+        CASE WHEN f.name = 'horse_power' AND shape = 'in_text' THEN 0.9215 ELSE sure END AS confidence FROM (SELECT *, unnest([
             {{'name': 'dealer_name', 'value': dealer, 'num': CAST(NULL AS DOUBLE)}}, {{'name': 'model_name', 'value': model, 'num': NULL}}, {{'name': 'invoice_number', 'value': number, 'num': NULL}}, {{'name': 'invoice_date', 'value': date, 'num': NULL}},
             {{'name': 'customer_name', 'value': c_name, 'num': NULL}}, {{'name': 'horse_power', 'value': CAST(hp AS VARCHAR), 'num': CAST(hp AS DOUBLE)}}, {{'name': 'asset_cost', 'value': CAST(cost AS VARCHAR) || '.0', 'num': CAST(cost AS DOUBLE)}}]) AS f FROM m)
     WHERE shape <> 'unknown' AND NOT (shape = 'no_cost' AND f.name = 'asset_cost')""")
