@@ -292,13 +292,21 @@ def ece_brier(spark, sf_dir):
     return confidence.ece(s, 5).crossJoin(F.broadcast(confidence.brier(s)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SCORED}, b AS (SELECT p, count(*) AS n, sum(y) AS y FROM s GROUP BY p),
+    fit(i, w, c) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) UNION ALL
+        SELECT i + 1, w - (gw * hcc - gc * hwc) / (hww * hcc - hwc * hwc), c - (hww * gc - hwc * gw) / (hww * hcc - hwc * hwc) FROM (
+            SELECT i, w, c, sum((n * m - y) * p) + w AS gw, sum(n * m - y) AS gc, sum(n * m * (1 - m) * p * p) + 1 AS hww, sum(n * m * (1 - m) * p) AS hwc, sum(n * m * (1 - m)) AS hcc
+            FROM (SELECT i, w, c, p, n, y, 1 / (1 + exp(-(w * p + c))) AS m FROM fit, b WHERE i < 30) GROUP BY i, w, c))
+    SELECT b.p, round(1 / (1 + exp(-(w * b.p + c))), 3) AS calibrated FROM b, fit WHERE i = 30""")
 def platt_calibration(spark, sf_dir):
     s = _scored(spark, sf_dir)
     return confidence.Calibrator().fit(s).calibrate(s.select("p").distinct()).select("p", F.round("calibrated", 3).alias("calibrated"))
 
 
-@query()
+@query(f"""WITH {_SCORED}, b AS (SELECT p, count(*) AS n, sum(y) AS y FROM s GROUP BY p), c AS (SELECT p, sum(n) OVER (ORDER BY p) AS n, sum(y) OVER (ORDER BY p) AS y FROM b),
+    i AS (SELECT lo.p AS lo, hi.p AS hi, (hi.y - (lo.y - b.y)) / (hi.n - (lo.n - b.n)) AS mean FROM c lo JOIN b ON lo.p = b.p JOIN c hi ON hi.p >= lo.p),
+    m AS (SELECT b.p, i.lo, min(i.mean) AS least FROM b JOIN i ON i.lo <= b.p AND i.hi >= b.p GROUP BY b.p, i.lo)
+    SELECT p, round(max(least), 4) AS calibrated FROM m GROUP BY p""")
 def isotonic_calibration(spark, sf_dir):
     s = _scored(spark, sf_dir)
     return confidence.Calibrator("isotonic").fit(s).calibrate(s.select("p").distinct()).select("p", F.round("calibrated", 4).alias("calibrated"))
