@@ -1,8 +1,10 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
-Level 0, over bytes, induces with array operations: the suffixes that begin with one value are a
-bucket, and a bucket's entries send their predecessors to later buckets all at once. Deeper levels,
-over names, are a third as long or less and run entry by entry.
+On each level the leftmost-smaller substrings are sorted directly, several symbols of all of them at a
+time, and named; where names repeat, the text of names is sorted by the same steps. Then all suffixes
+are induced once. Level 0, over bytes, induces with array operations: the suffixes that begin with one
+value are a bucket, and a bucket's entries send their predecessors to later buckets all at once. Deeper
+levels, over names, are a third as long or less and run entry by entry.
 """
 
 from __future__ import annotations
@@ -146,41 +148,43 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         return _induce_each(s, is_s, counts, seeds)
 
     if len(lms) > 1:
-        lms = lms[np.argsort(s[lms], kind="stable")]
-        order = induced(lms)
-        at_lms = np.zeros(n, bool)
-        at_lms[lms] = True
-        order = order[at_lms[order]]
-        names, distinct = _name(s, is_s, order, np.sort(lms))
-        places = np.sort(lms)
-        if distinct < len(places):
-            order = places[suffix_array(names)]
-        lms = order
+        names, distinct = _name(s, is_s, lms)
+        order = np.argsort(names, kind="stable") if distinct == len(lms) else suffix_array(names)
+        lms = lms[order]
     return induced(lms)
 
 
-def _name(s: np.ndarray, is_s: np.ndarray, order: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, int]:
-    """Names of the leftmost-smaller substrings in the order of their places; equal ones share a name."""
-    n = len(s)
-    end = np.empty(n, np.int64)
-    end[places] = np.append(places[1:], n)  # where the substring's last value is; n: it runs to the end
-    length = np.minimum(end[order], n - 1) - order + 1
-    length = np.where(end[order] == n, n - order + 1, length)  # counts the end itself, which nothing equals
-    same = length[1:] == length[:-1]
-    same &= (end[order[1:]] != n) & (end[order[:-1]] != n)
-    live = np.flatnonzero(same)
-    step = 0
+def _name(s: np.ndarray, is_s: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, int]:
+    """Names, by order, of the leftmost-smaller substrings that begin at ``places``; how many differ.
+
+    Symbols are compared with their types, as many at a time as fit a word. A substring ends with the
+    next one's first symbol; the last runs to the end, which is less than any symbol.
+    """
+    n, m = len(s), len(places)
+    code = s.astype(np.int64) * 2 + is_s + 1
+    bits = int(code.max()).bit_length()
+    each = 63 // bits
+    length = np.append(places[1:] - places[:-1] + 1, n - places[-1])
+    rank, live, step = np.zeros(m, np.int64), np.arange(m), 0
     while len(live):
-        a, b = order[live] + step, order[live + 1] + step
-        equal = (s[a] == s[b]) & (is_s[a] == is_s[b])
-        same[live[~equal]] = False
-        live = live[equal]
-        step += 1
-        live = live[length[live] > step]
-    rank = np.concatenate([[0], np.cumsum(~same)])
-    names = np.empty(n, np.int64)
-    names[order] = rank
-    return names[places], int(rank[-1]) + 1
+        word = np.zeros(len(live), np.int64)
+        for k in range(step, step + each):
+            word = word << bits | np.where(k < length[live], code[np.minimum(places[live] + k, n - 1)], 0)
+        old = rank[live]
+        order = np.lexsort((word, old)) if step else np.argsort(word, kind="stable")
+        live, word, old = live[order], word[order], old[order]
+        group = np.concatenate([[True], old[1:] != old[:-1]])
+        new = group.copy()
+        new[1:] |= word[1:] != word[:-1]
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(live)))
+        at = np.maximum.accumulate(np.where(group, np.arange(len(live)), 0))[begin]
+        rank[live] = np.repeat(old[begin] + begin - at, size)
+        step += each
+        more = (size > 1) & (np.maximum.reduceat(length[live], begin) > step)
+        live = live[np.repeat(more, size)]
+    kinds, names = np.unique(rank, return_inverse=True)
+    return names, len(kinds)
 
 
 def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
