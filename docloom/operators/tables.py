@@ -14,10 +14,12 @@ from .documents import by_type, kept
 # Words of a header without a schema's table, general ends of a table, the item line.
 HEADER_WORDS = ("s.no", "sno", "sl no", "item", "item name", "description", "particulars", "qty", "quantity", "rate", "unit price", "price", "amount", "total", "hsn", "tax")
 STOPS = (r"^thank\s*you\b", r"^authorized\s+signatory\b", r"^for\s+[A-Z]")
+# The item line: number, item, quantity, price, amount. Groups go by number, as Java's names know no underscore.
 ITEM = (
-    r"^(?:(?<sno>\d{1,4})\s+)?(?<item>[A-Za-z0-9\s\.\&\-\(\)\/]+?)\s+(?<qty>\d+(?:\.\d+)?)\s+"
-    r"(?:(?:rs\.?|inr|₹)\s*)?(?<price>[\d,]+(?:\.\d{1,2})?)\s+(?:(?:rs\.?|inr|₹)\s*)?(?<amount>[\d,]+(?:\.\d{1,2})?)$"
+    r"(?iuU)^(?:(\d{1,4})\s+)?([A-Za-z0-9\s\.\&\-\(\)\/]+?)\s+(\d+(?:\.\d+)?)\s+"
+    r"(?:(?:rs\.?|inr|₹)\s*)?([\d,]+(?:\.\d{1,2})?)\s+(?:(?:rs\.?|inr|₹)\s*)?([\d,]+(?:\.\d{1,2})?)$"
 )
+_MARK = "\x01"
 NO_ROWS = 0.85
 
 CELL = "struct<value_num:double,value_str:string,raw_text:string,confidence:double>"
@@ -60,19 +62,23 @@ def parse_row(line: Column, position: Column, names: Column) -> Column:
 
 
 def _cells(text: Column, confidence: Column, position: Column, names: Column) -> Column:
-    pattern = java_pattern(ITEM.replace("(?<", "(?P<"))
-    g = lambda k: F.regexp_extract(text, pattern, k)
-    sno = F.coalesce(F.nullif(g(1), F.lit("")), position.cast("string"))
-    none = F.lit(None).cast("string")
-    number = lambda k: F.replace(g(k), F.lit(","), F.lit("")).try_cast("double")
-    item = strip(g(2))
-    cells = [
-        (F.lit("sno"), _cell(sno.try_cast("double"), none, sno, confidence)), (F.lit("item"), _cell(F.lit(None), item, item, confidence)),
-        (F.lit("qty"), _cell(number(3), none, g(3), confidence)), (F.lit("unit_price"), _cell(number(4), none, g(4), confidence)), (F.lit("amount"), _cell(number(5), none, g(5), confidence)),
-    ]
-    itemised = F.create_map(*[x for pair in cells for x in pair])
+    # one pass of the pattern: its groups between marks that no text of an item line holds
+    groups = F.split(F.regexp_replace(text, ITEM, F.lit(_MARK.join(f"${k}" for k in range(1, 6)))), _MARK, -1)
+
+    def itemised(g: Column) -> Column:
+        sno = F.coalesce(F.nullif(g[0], F.lit("")), position.cast("string"))
+        none = F.lit(None).cast("string")
+        number = lambda k: F.replace(g[k], F.lit(","), F.lit("")).try_cast("double")
+        item = strip(g[1])
+        cells = [
+            (F.lit("sno"), _cell(sno.try_cast("double"), none, sno, confidence)), (F.lit("item"), _cell(F.lit(None), item, item, confidence)),
+            (F.lit("qty"), _cell(number(2), none, g[2], confidence)), (F.lit("unit_price"), _cell(number(3), none, g[3], confidence)), (F.lit("amount"), _cell(number(4), none, g[4], confidence)),
+        ]
+        return F.create_map(*[x for pair in cells for x in pair]).cast(f"map<string,{CELL}>")
+
     loose = let(F.transform(column_tokens(text), strip), lambda tokens: _loose(tokens, confidence, names))
-    return F.when(F.regexp_like(text, F.lit(pattern)), itemised).otherwise(loose).cast(f"map<string,{CELL}>")
+    matched = lambda g: (F.size(g) == 5) & ~F.contains(text, F.lit(_MARK))
+    return let(groups, lambda g: F.when(matched(g), itemised(g)).otherwise(loose.cast(f"map<string,{CELL}>")))
 
 
 def _loose(tokens: Column, confidence: Column, names: Column) -> Column:
