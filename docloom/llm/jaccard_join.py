@@ -432,8 +432,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     label = first.join(label, "node").select(*KEY, "label")
     nodes = rows.groupBy(*KEY).agg(F.min("doc_id").alias("class_id")).join(label, KEY, "left")
     nodes = cut(nodes, f"{home}/classes")
-    names = nodes.filter("label IS NOT NULL").groupBy("label").agg(F.min("class_id").alias("component_id"))
-    nodes = nodes.join(names, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("class_id")).otherwise(F.col("component_id")))
+    # classes that cannot link have no label and are their own components: no key brings them to one task
+    linked = nodes.filter("label IS NOT NULL")
+    names = linked.groupBy("label").agg(F.min("class_id").alias("component_id"))
+    single = nodes.filter("label IS NULL").withColumn("component_id", F.col("class_id"))
+    nodes = linked.join(names, "label").select(*single.columns).unionByName(single)
     out = rows.join(cut(nodes.select(*KEY, "label", "class_id", "component_id"), f"{home}/nodes"), KEY)
     empty = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *KEY, "label")
@@ -506,7 +509,10 @@ def keep_one_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     key = F.struct(*KEY)
     least = found.filter("component_id IS NULL AND label IS NOT NULL").groupBy("label").agg(F.min(key).alias("least"))
     other = ~F.col("doc_id").eqNullSafe(F.col("component_id")) | F.coalesce(key != F.col("least"), F.lit(False))
-    found = found.join(least, "label", "left").select(F.col("doc_id").alias(id_col), *[F.col(c).alias(m) for c, m in _MARKS.items()], (other & (F.col("n_shingles") > 0)).alias(_GOES))
+    nameless = F.col("component_id").isNull() & F.col("label").isNotNull()
+    rest = found.filter(~nameless).withColumn("least", F.lit(None).cast(least.schema["least"].dataType))
+    found = found.filter(nameless).join(least, "label").select(*rest.columns).unionByName(rest)
+    found = found.select(F.col("doc_id").alias(id_col), *[F.col(c).alias(m) for c, m in _MARKS.items()], (other & (F.col("n_shingles") > 0)).alias(_GOES))
     found = cut(found, f"{home}/rows")
     on = [id_col, *_MARKS.values()]
     gone = found.filter(_GOES).select(*on).distinct()

@@ -1,8 +1,11 @@
 import collections
+import zlib
 
 import corpus_pipeline
+import numpy as np
 
 from docloom.llm import language_id
+from docloom.llm.queries import tokenizer_path
 
 from .test_operators import plain_components, plain_groups, BLANK
 
@@ -28,3 +31,56 @@ def test_stages_keep_what_plain_versions_keep(spark, docs, tmp_path):
     for r in packed:
         held[r.sequence_id] += r.length
     assert max(held.values()) <= 2048 and language_id.LEAST_SHARE < 1
+
+
+def plain_strip(texts, width=400):
+    """Texts without the bytes of strings that occur again, cut at whole characters."""
+    data = {d: t.encode() for d, t in texts.items()}
+    seen = collections.Counter(b[i : i + width] for b in data.values() for i in range(len(b) - width + 1))
+    out = {}
+    for d, b in data.items():
+        spans = []
+        for i in range(len(b) - width + 1):
+            if seen[b[i : i + width]] > 1:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + width
+                else:
+                    spans.append([i, i + width])
+        kept, at = b"", 0
+        for a, z in spans:
+            while a < z and b[a] & 0xC0 == 0x80:
+                a += 1
+            while z > a and z < len(b) and b[z] & 0xC0 == 0x80:
+                z -= 1
+            kept, at = kept + b[at:a], z
+        out[d] = (kept + b[at:]).decode()
+    return out
+
+
+def test_run_gives_what_plain_versions_give(spark, docs):
+    """From documents to places, the stages one after the other, all of it through ``run``."""
+    from tokenizers import Tokenizer
+
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: r.text for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    groups = plain_groups(texts.items())
+    texts = {d: t for d, t in texts.items() if groups[BLANK.sub("", t)][0] == d}
+    first = {c for _, c in plain_components(texts.items()).values()}
+    texts = plain_strip({d: t for d, t in texts.items() if d in first})
+    tokenizer, want = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), set()
+    for d, t in texts.items():
+        ids, at = [*tokenizer.encode(t, add_special_tokens=False).ids, 0], 0
+        for k, to in enumerate(range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)):
+            want.add((d, k, at, to - at, zlib.crc32(np.array(ids[at:to], "<u4").tobytes())))
+            at = to
+    assert len(rows) == len(want) and {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == want
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[r.sequence_id].append((r.offset, r.length))
+    for parts in held.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(held) <= 1.01 * -(-sum(r.length for r in rows) // 2048) + 1

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from docloom.llm import jaccard_join, language_id, packing, quality, queries, sharding, spm, warc
+from docloom.llm import chat_format, jaccard_join, language_id, packing, quality, queries, sharding, spm, warc
 from docloom.llm.queries import tokenizer_path
 
 
@@ -54,6 +54,15 @@ def test_rows_equal_in_every_key_share_a_shard(spark):
         assert sorted(r.slot for r in got if r.doc_id) == list(range(50))
 
 
+# 2 chat
+def test_a_null_conversation_id_and_turns_of_null_role(spark):
+    rows = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (3, 0, None, None), (3, 1, "assistant", "")], "conv_id long, turn long, role string, text string").repartition(2)
+    got = {r.conv_id: r for r in chat_format.read_chats(chat_format.format_chats(rows)).collect()}
+    assert set(got) == {None, 3}
+    assert (got[None].n_turns, got[None].loss_chars, got[None].turns_sha256) == (2, 1, hashlib.sha256(b"user\na\nassistant\nb\n").hexdigest())
+    assert (got[3].n_turns, got[3].loss_chars, got[3].turns_sha256) == (2, 0, hashlib.sha256(b"\n\nassistant\n\n").hexdigest())
+
+
 # 4 packing
 @pytest.mark.parametrize("migrate", [False, True])
 def test_the_search_beats_best_fit_decreasing(spark, migrate):
@@ -268,6 +277,16 @@ def test_archives_of_other_attempts_are_not_read(spark, tmp_path):
 
 
 # 10 language
+def test_words_of_long_texts_are_taken_in_blocks(monkeypatch):
+    rng = np.random.default_rng(0)
+    table = rng.random((language_id.SIZE, 3)).astype(np.float32)
+    texts = ["one two  three", "x" * 500 + " a b " + "y" * 300, " ", "", "12 ab 34", "word " * 400]
+    whole = [language_id.word_likelihoods(t, table) for t in texts]
+    monkeypatch.setattr(language_id, "BLOCK_CHARS", 7)
+    for t, want in zip(texts, whole):
+        assert np.allclose(language_id.word_likelihoods(t, table), want, atol=1e-3)
+
+
 def test_languages_of_one_script_are_told_apart(spark):
     """Words of equal lengths, of letters outside a-z: only the letters tell the languages."""
     random.seed(5)
