@@ -41,7 +41,7 @@ from ._text import mix, prefix_hash, span_hash, window_hashes, word_spans
 ORDER, BITS = 3, 21
 #: Interquartile distances beyond the quartiles at which the band of log perplexity ends: below, above.
 #: Set on labelled documents (README): junk lies above; what lies below is mostly repetition, a matter of the base rules.
-SPREADS = (3.0, 2.0)
+SPREADS = (3.0, 2.5)
 #: Fixed values of the base rules: least words, greatest percentage of repeated words.
 LEAST_WORDS, MOST_REPEATED = 20, 30
 SYMBOLS = "#*$%&|<>"
