@@ -1,8 +1,4 @@
-"""Character classes and their n-grams, for the quality model; language ID only uses the classes.
-
-Characters map to a fixed, small alphabet, so the number of possible n-grams, and with it every
-model's size, is bounded whatever the corpus holds.
-"""
+"""Character classes: what language ID makes of blanks, digits, sentence marks and symbols."""
 
 from __future__ import annotations
 
@@ -11,7 +7,6 @@ import unicodedata
 import numpy as np
 
 #: Classes: 0 space, 1 digit, 2 sentence mark, 3 symbol, 4 other letter, 5 capital, 6-31 a-z, 32-41 accented.
-N_CLASSES = 42
 _GROUPS = ("é", "è", "êë", "àâäáãåæ", "çñ", "öôóòõøœ", "üûúù", "íîïìÿý", "ß", "ðþ")
 _TABLE = np.full(0x250, 3, np.uint8)
 
@@ -52,12 +47,3 @@ def classes(text: str, fold: bool) -> np.ndarray:
     kinds = np.array([0 if chr(p).isspace() else 4 if chr(p).isalpha() else 1 if chr(p).isnumeric() else 3 for p in wide.tolist()], np.uint8)
     out[far] = kinds[which]
     return out
-
-
-def grams(kinds: np.ndarray, order: int) -> np.ndarray:
-    """Codes of all runs of ``order`` classes, the text being preceded by spaces; one per character."""
-    padded = np.concatenate([np.zeros(order - 1, np.int32), kinds.astype(np.int32)])
-    code = np.zeros(len(kinds), np.int32)
-    for k in range(order):
-        code = code * N_CLASSES + padded[k : k + len(kinds)]
-    return code
