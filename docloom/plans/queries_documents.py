@@ -150,7 +150,12 @@ def flat_record(spark, sf_dir):
     return sinks.flat_record(extract_documents(render_lines(spark, sf_dir))).select("doc_id", "invoice_number", "invoice_date", "dealer_name", "document_type")
 
 
-@query()
+@query(f"""WITH {_ITEMS}, f AS (SELECT doc_id, k, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS i, unnest(['Merchant Name', 'Invoice Number', 'Invoice Date', 'Table Number', 'Cashier', 'Subtotal', 'Grand Total', 'Payment Mode']) AS label,
+        unnest(['SPICE GARDEN RESTAURANT', 'INV-' || doc_id, strftime(o_orderdate, '%d/%m/%Y'), 'T-' || CAST(o_orderkey % 40 AS VARCHAR), c_name, CAST(CAST(total AS DOUBLE) AS VARCHAR), CAST(CAST(total AS DOUBLE) AS VARCHAR), 'UPI']) AS value FROM docs),
+    g AS (SELECT doc_id, string_agg('  ' || rpad(label, 24, ' ') || value || CASE WHEN i = 0 THEN ' (0.93)' ELSE ' (0.96)' END, chr(10) ORDER BY i) AS fields FROM f GROUP BY doc_id),
+    r AS (SELECT CAST(k AS VARCHAR) AS doc_id, string_agg(rpad(CAST(n AS VARCHAR), 18, ' ') || rpad(item, 18, ' ') || rpad(CAST(CAST(qty AS BIGINT) AS VARCHAR), 18, ' ') || rpad(CAST(CAST(unit_price AS DECIMAL(18,2)) AS VARCHAR), 18, ' ')
+        || rpad(CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR), 18, ' '), chr(10) || '  ' ORDER BY n, {_BODY}) AS rows FROM items GROUP BY k)
+    SELECT doc_id, 'Restaurant Receipt / Food Tax Invoice (0.98)' || chr(10) || fields || chr(10) || '  [line_items]' || chr(10) || '  ' || rows || chr(10) || 'Decision: AUTO_APPROVE' AS card FROM g JOIN r USING (doc_id)""")
 def result_cards(spark, sf_dir):
     return sinks.cards(extract_documents(render_lines(spark, sf_dir)))
 

@@ -223,7 +223,14 @@ def similarity_identities(spark, sf_dir):
     return _t(spark, sf_dir, "supplier").select("s_suppkey", token_sort(a, b).alias("sorted_score"), token_set(a, F.concat(b, F.lit(" ltd"))).alias("set_score"), partial(a, F.concat(F.lit("m/s "), b)).alias("part_score"), composite(a, b).alias("composite_score"))
 
 
-@query()
+def _dealers_sql() -> str:
+    return "['" + "', '".join(c.replace("'", "''") for c in Registry.shared().get("tractor_invoice").fields[0].catalog) + "']"
+
+
+@query(f"""WITH c AS (SELECT unnest({_dealers_sql()}) AS entry, generate_subscripts({_dealers_sql()}, 1) AS i), n AS (SELECT count(*) AS n FROM c),
+    l AS (SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, 'M/s ' || entry || ' Dealer' AS text FROM supplier, n, c WHERE i = s_suppkey % n + 1)
+    SELECT doc_id, 0 AS line_idx, text, first(entry ORDER BY i) AS name, 100.0 AS score, 0.9 AS confidence, 'fuzzy_ocr_scan' AS method
+    FROM l JOIN c ON list_has_all(string_split(text, ' '), string_split(entry, ' ')) GROUP BY doc_id, text""")
 def entity_match_token_sort(spark, sf_dir):
     catalog = list(Registry.shared().get("tractor_invoice").fields[0].catalog)
     lines = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.lit(0).alias("line_idx"), F.concat(F.lit("M/s "), F.element_at(F.array(*[F.lit(c) for c in catalog]), (F.col("s_suppkey") % len(catalog) + 1).cast("int")), F.lit(" Dealer")).alias("text"), F.lit(0.9).alias("confidence"))
