@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,22 +24,30 @@ def _top(rows: list[tuple], k: int) -> list[tuple]:
     return sorted(rows, key=lambda r: -r[1])[:k]
 
 
+def _each_text(queries: pd.Series, found: Callable[[str], list[tuple]], top_k: int) -> pd.Series:
+    """The candidates of a batch; texts of equal form are compared once."""
+    known: dict[str, list[dict]] = {}
+    for own in {normalized(q) for q in queries}:
+        known[own] = [dict(zip(("name", "score", "confidence", "match_type", "metrics"), r, strict=True)) for r in _top(found(own), top_k)]
+    return pd.Series([known[normalized(q)] for q in queries])
+
+
 def dealer_candidates(query: Column, catalog: list[str], top_k: int = 3) -> Column:
     """The best entries by composite score, of equals the first of the catalog; none for a blank query."""
     names = [(e, normalized(e)) for e in catalog]
 
     @F.pandas_udf(CANDIDATE)
     def run(queries: pd.Series) -> pd.Series:
-        out = []
-        for q in queries:
-            found, own = [], normalized(q)
+        def found(own: str) -> list[tuple]:
+            out = []
             for entry, name in names if own else []:
                 score = composite_score(own, name)
                 if score >= DEALER_LEAST:
                     metrics = {"token_sort": token_sort_ratio(own, name), "token_set": token_set_ratio(own, name), "partial": partial_ratio(own, name)}
-                    found.append((entry, score, round(score / 100 * DEALER_SHARE, 4), "fuzzy", metrics))
-            out.append([dict(zip(("name", "score", "confidence", "match_type", "metrics"), r, strict=True)) for r in _top(found, top_k)])
-        return pd.Series(out)
+                    out.append((entry, score, round(score / 100 * DEALER_SHARE, 4), "fuzzy", metrics))
+            return out
+
+        return _each_text(queries, found, top_k)
 
     return run(query)
 
@@ -49,19 +58,19 @@ def model_candidates(query: Column, catalog: list[str], top_k: int = 3) -> Colum
 
     @F.pandas_udf(CANDIDATE)
     def run(queries: pd.Series) -> pd.Series:
-        out = []
-        for q in queries:
-            found, own = [], normalized(q)
+        def found(own: str) -> list[tuple]:
+            out = []
             for entry, name in names if own else []:
                 if name in own:
-                    found.append((entry, 100.0, EXACT_CONFIDENCE, "exact", {}))
+                    out.append((entry, 100.0, EXACT_CONFIDENCE, "exact", {}))
                     continue
                 metrics = {"token_sort": token_sort_ratio(own, name), "partial": partial_ratio(own, name)}
                 score = max(metrics.values())
                 if score >= MODEL_LEAST:
-                    found.append((entry, score, round(score / 100 * MODEL_SHARE, 4), "fuzzy", metrics))
-            out.append([dict(zip(("name", "score", "confidence", "match_type", "metrics"), r, strict=True)) for r in _top(found, top_k)])
-        return pd.Series(out)
+                    out.append((entry, score, round(score / 100 * MODEL_SHARE, 4), "fuzzy", metrics))
+            return out
+
+        return _each_text(queries, found, top_k)
 
     return run(query)
 

@@ -11,6 +11,7 @@ from ..functions.expressions import to_column
 from ..functions.similarity import composite, partial, token_set, token_sort
 from ..operators import baseline, confidence, evaluate, match, rules, spatial
 from ..operators.classify import schema_score
+from ..operators.documents import spread
 from ..sources.lines import recognised_lines, text_lines
 from ..sources.schemas import Registry
 
@@ -241,7 +242,7 @@ def entity_match_token_sort(spark, sf_dir):
 def model_candidates(spark, sf_dir):
     catalog = list(Registry.shared().get("tractor_invoice").fields[1].catalog)
     asked = _t(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Tractor "), F.element_at(F.array(*[F.lit(c) for c in catalog]), (F.col("p_partkey") % len(catalog) + 1).cast("int"))).alias("q"))
-    found = asked.withColumn("c", match.model_candidates(F.col("q"), catalog))
+    found = spread(asked).withColumn("c", match.model_candidates(F.col("q"), catalog))
     return found.select("p_partkey", F.get("c", F.lit(0))["name"].alias("best"), F.size(match.alternatives(F.col("c"))).alias("others"), match.model_by_substring(F.col("q"), catalog).alias("by_substring"))
 
 
