@@ -23,7 +23,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +32,8 @@ from ._common import blocks, bounded_batches, cut, trimmed, work_dir
 
 CAPACITY = 2048
 BLOCK_PIECES = 16_384
+#: Characters encoded at a time (a longer text is a block of its own); an encoding's arrays take about a hundred bytes a character.
+BLOCK_CHARS = 1 << 19
 #: Set where best-fit decreasing is not best (lengths that fill bins by threes): it is 6 % above the least there, the search 4 %.
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 10, 6
 #: Share of a parent's fullest bins that a child takes whole.
@@ -41,6 +42,7 @@ INJECTED = 0.5
 #: Tasks of an epoch; beyond, a task breeds several islands one after the other.
 MOST_TASKS = 20_000
 
+#: The encoders of the tasks that run in this worker.
 _encoders: dict[str, BlockEncoder] = {}
 
 
@@ -51,7 +53,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_id
     for batch in batches:
         docs, texts = batch.column("doc_id"), batch.column("text")
         lengths = [len(t) for t in texts.to_pylist()]
-        for a, b in blocks(lengths):
+        for a, b in blocks(lengths, BLOCK_CHARS):
             rows, piece, start, length, crc, ids_out = [], [], [], [], [], []
             for i, ids in enumerate(encoder.encode(texts.slice(a, b - a).to_pylist()), a):
                 ids = np.append(ids, np.uint32(0))
@@ -72,6 +74,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_id
             if with_ids:
                 columns, names = [*columns, pa.array(ids_out, pa.list_(pa.int64()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+    _encoders.pop(path, None)  # a worker lives on: later stages need the memory more than the next task needs the table
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -195,13 +198,13 @@ def _unpack_bins(data: bytes) -> list[list[int]]:
 def _epoch(capacity: int, epoch: int, generations: int, population: int):
     """The function of one island's epoch: its histogram and the elites sent to it give its best solution."""
 
-    def island(key, hist: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
-        block, number = (int(x) for x in key)
+    def island(key: tuple[pa.Scalar, ...], hist: pa.Table, sent: pa.Table) -> pa.Table:
+        block, number = (x.as_py() for x in key)
         counts = np.zeros(capacity, np.int64)
-        counts[hist["length"].to_numpy()] = hist["n"].to_numpy()
+        counts[hist.column("length").to_numpy()] = hist.column("n").to_numpy()
         seed = [block, number, epoch]
-        best = evolve(counts, [_unpack_bins(x) for x in sent["bins"]], capacity, seed, generations, population)
-        return pd.DataFrame({"block": [block], "island": [number], "n_bins": [len(best)], "bins": [_pack_bins(best)]})
+        best = evolve(counts, [_unpack_bins(x) for x in sent.column("bins").to_pylist()], capacity, seed, generations, population)
+        return pa.table({"block": [block], "island": [number], "n_bins": [len(best)], "bins": [_pack_bins(best)]})
 
     return island
 
@@ -244,7 +247,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, islands: int = ISLANDS,
         # as many tasks as islands, however few bytes they read: an island's work is not in its input's size
         spread = [x.repartition(min(n_blocks * islands, MOST_TASKS), "block", "island").groupBy("block", "island") for x in (each, elites)]
         grouped = spread[0].cogroup(spread[1])
-        bred = cut(grouped.applyInPandas(_epoch(capacity, epoch, generations, population), kind), f"{home}/epoch{epoch}")
+        bred = cut(grouped.applyInArrow(_epoch(capacity, epoch, generations, population), kind), f"{home}/epoch{epoch}")
         away = bred.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)))
         elites = bred.unionByName(away).dropDuplicates(["block", "island", "bins"]) if migrate else bred
     best = bred.groupBy("block").agg(F.min_by("bins", F.struct("n_bins", "island")).alias("bins"))

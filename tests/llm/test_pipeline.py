@@ -3,8 +3,9 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 
-from docloom.llm import language_id
+from docloom.llm import language_id, packing
 from docloom.llm.queries import tokenizer_path
 
 from .test_operators import plain_components, plain_groups, BLANK
@@ -84,3 +85,32 @@ def test_run_gives_what_plain_versions_give(spark, docs):
             at += length
         assert at <= 2048
     assert len(held) <= 1.01 * -(-sum(r.length for r in rows) // 2048) + 1
+
+
+def test_stages_send_small_batches(spark, no_docs):
+    """Every stage bounds the bytes that a Python worker and its executor hold of texts at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wide = spark.range(64).coalesce(1).selectExpr("repeat('x', 100000) AS text")
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.set(name, str(64 << 20))
+        stage(spark, no_docs, "")
+        sizes = wide.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in it), "n long").collect()
+        assert max(r.n for r in sizes) < 2.3 * 2**20 and sum(r.n for r in sizes) > 6_400_000
+
+
+def test_texts_are_encoded_in_small_blocks():
+    """All texts are encoded, half a million characters at a time unless a single text is longer."""
+    asked = []
+
+    class Recorder:
+        def encode(self, texts):
+            asked.append([len(t) for t in texts])
+            return [np.zeros(len(t) // 1000, np.uint32) for t in texts]
+
+    packing._encoders["recorder"] = Recorder()
+    sizes = [50_000] * 60 + [700_000] + [1_000] * 5
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(sizes))), "text": ["x" * n for n in sizes]})
+    rows = [r for b in packing._pieces(iter([batch]), "recorder", 2048, False) for r in b.to_pylist()]
+    assert [n for a in asked for n in a] == sizes and [r["length"] for r in rows] == [n // 1000 + 1 for n in sizes]
+    assert all(sum(a) <= 1 << 19 or len(a) == 1 for a in asked)
+    assert "recorder" not in packing._encoders  # the worker keeps no vocabulary for later stages
