@@ -98,6 +98,16 @@ def test_stages_send_small_batches(spark, no_docs):
         assert max(r.n for r in sizes) < 2.3 * 2**20 and sum(r.n for r in sizes) > 6_400_000
 
 
+def test_stages_begin_with_a_collection_of_garbage(spark, no_docs):
+    """What one stage leaves in the executors' heaps (here the driver's) is gone before the next."""
+    management = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    asked = lambda: sum(b.getCollectionCount() for b in management.getGarbageCollectorMXBeans() if "Young" not in b.getName())
+    for _, stage in corpus_pipeline.STAGES:
+        before = asked()
+        stage(spark, no_docs, "")
+        assert asked() > before
+
+
 def test_texts_are_encoded_in_small_blocks():
     """All texts are encoded, half a million characters at a time unless a single text is longer."""
     asked = []
